@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from blockloom.llm import license_scan as licenses
 from blockloom.llm.line_dedup import apply_bitmaps, line_dedup
 from blockloom.llm.mixing import mix
 from blockloom.llm.simhash import simhash_groups
+from blockloom.llm.sketch import edited_fingerprints
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
@@ -58,7 +68,9 @@ SELECT doc_id, size, source_size, target, (least(floor(rate) + (draw < rate - fl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash": op3_simhash,
+    "op5_license_scan": op5_license_scan,
     "op9_mixing": op9_mixing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op9_mixing": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_license_scan": licenses.oracle_sql(), "op9_mixing": OP9_SQL}
