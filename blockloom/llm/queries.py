@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from blockloom.llm import license_scan as licenses
 from blockloom.llm.line_dedup import apply_bitmaps, line_dedup
 from blockloom.llm.mixing import mix
+from blockloom.llm.pii import pseudonymize
 from blockloom.llm.simhash import simhash_groups
 from blockloom.llm.sketch import edited_fingerprints
 
@@ -34,6 +35,14 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+#: The key of the pseudonyms in the registered query; a deployment passes its own.
+PII_KEY = "blockloom example key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash": op3_simhash,
     "op5_license_scan": op5_license_scan,
+    "op6_pii": op6_pii,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
