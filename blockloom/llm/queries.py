@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from blockloom.llm import license_scan as licenses
+from blockloom.llm.langid import held_out, train_and_identify
 from blockloom.llm.line_dedup import apply_bitmaps, line_dedup
 from blockloom.llm.mixing import mix
 from blockloom.llm.pii import pseudonymize
@@ -27,6 +29,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), words=3, distance=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = train_and_identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.array_join("languages.lang", ",").alias("lang_set"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
+    "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
