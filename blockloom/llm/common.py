@@ -62,3 +62,11 @@ BROADCAST_ROWS = 50_000
 def broadcast_if_small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``table`` with a broadcast hint if it has at most ``most`` rows, else as it is (a shuffled join)."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def process_cache() -> dict:
+    """A dict that lives as long as the Python worker, across tasks."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_blockloom_worker_cache", types.ModuleType("_blockloom_worker_cache")).__dict__

@@ -11,6 +11,7 @@ from blockloom.llm import license_scan as licenses
 from blockloom.llm.langid import held_out, train_and_identify
 from blockloom.llm.line_dedup import apply_bitmaps, line_dedup
 from blockloom.llm.mixing import mix
+from blockloom.llm.packing import pack
 from blockloom.llm.pii import pseudonymize
 from blockloom.llm.simhash import simhash_groups
 from blockloom.llm.sketch import edited_fingerprints
@@ -29,6 +30,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), words=3, distance=2).select("doc_id", "fingerprint", "component_id")
 
 
+def tokenizer_json(path: str | None = None) -> str:
+    """The content of a tokenizer file; the public word tokenizer by default."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_json(), with_ids=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = train_and_identify(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.array_join("languages.lang", ",").alias("lang_set"))
@@ -86,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
+    "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
