@@ -11,6 +11,7 @@ window of a shard is cut into powers of two, so nothing is padded.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,34 +26,94 @@ SHARD_BYTES = 3_000_000
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
 #: Words that a worker remembers the ids of.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 _MARK = b"<|"
+#: Words that decide whether a tokenizer's model can be asked directly.
+_PROBES = ("the", "retrieval", "zzxqj", "a", "thanontioner", "été", "ciónñ", "größe")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level models use for each byte: itself, or the next free one from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of whole texts. White space separates tokens, so words are encoded once and remembered."""
+    """Token ids of whole texts. White space separates tokens, so words are encoded once and remembered.
+
+    Plain words (letters of the Latin blocks, perhaps with a full stop or comma after) skip the tokenizer's
+    normalisation and go to its merges directly, if probes show that this gives the same ids.
+    """
 
     def __init__(self, json: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores run tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # words are remembered here
+        self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
         self.words: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+        self.stops = {s: self._slow([s])[0] for s in (b".", b",")}
+        self.direct = all(
+            self._merged(w) == self._slow([w.encode()])[0] and all(self._merged(w) + self.stops[s] == self._slow([w.encode() + s])[0] for s in self.stops) for w in _PROBES
+        )
+
+    def _slow(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 2000):
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[at : at + 2000]], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return out
+
+    def _merged(self, word: str) -> bytes:
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't remembered."""
+        new: dict[bytes, bytes] = {}
+        odd, known, stops, tokenize = [], self.words, self.stops, self.model.tokenize
+        if not self.direct:
+            return dict(zip(words, self._slow(words), strict=True))
+        for word in words:
+            stop = stops.get(word[-1:])
+            stem = word[:-1] if stop else word
+            ids = known.get(stem) or new.get(stem)
+            if ids is None:
+                if stem.isalpha() and stem.islower():
+                    ids = array("I", [t.id for t in tokenize(stem.decode())]).tobytes()
+                else:
+                    text = stem.decode().lower()
+                    if not text.isalpha() or max(text) >= "\u0180":
+                        odd.append(word)
+                        continue
+                    ids = self._merged(text)
+                new[stem] = ids
+            if stop:
+                new[word] = ids + stop
+        new.update(zip(odd, self._slow(odd), strict=True))
+        return new
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        # ASCII case goes anyway, except inside the marks of special tokens
-        split = [(t if _MARK in t else t.lower()).split() for t in texts]
-        fresh = set().union(*split).difference(self.words)
-        new = self._ids(list(fresh)) if fresh else {}
-        if len(self.words) + len(new) <= CACHED_WORDS:
-            self.words.update(new)
-            new = None
-        look = self.words.__getitem__ if new is None else lambda w: self.words.get(w) or new.get(w, b"")
-        return [b"".join(map(look, words)) for words in split]
+        words: list[bytes] = []
+        ends = []
+        for t in texts:  # ASCII case goes anyway, except inside the marks of special tokens
+            words += (t if _MARK in t else t.lower()).split()
+            ends.append(len(words))
+        found = list(map(self.words.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            new = self._fresh(list({words[i] for i in gaps}))
+            for i in gaps:
+                found[i] = new[words[i]]
+            if len(self.words) + len(new) <= CACHED_WORDS:
+                self.words.update(new)
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def encoder(json: str) -> Encoder:
@@ -63,6 +124,15 @@ def encoder(json: str) -> Encoder:
     return cache[key]
 
 
+def doc_terms(tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, frequency) of each distinct term of each document, in order."""
+    bits = max(1, int(tokens.max(initial=0)).bit_length())
+    small = len(lens) << bits < 1 << 32
+    kind = np.uint32 if small else np.uint64
+    pairs, tf = np.unique(np.repeat(np.arange(len(lens), dtype=kind) << kind(bits), lens) | tokens.astype(kind, copy=False), return_counts=True)
+    return (pairs >> kind(bits)).astype(np.int64), (pairs & kind((1 << bits) - 1)).astype(np.int64), tf
+
+
 _SHARD = "shard long, first_seq long, doc_ids array<long>, n_ids array<int>, ids binary, df_ids binary, df_counts binary"
 
 
@@ -76,8 +146,10 @@ def _tokenize(json: str, end_id: int, window: int, most_bytes: int):
             blobs = [b + end for b in enc.encode(texts)]
             lens = np.array([len(b) // 4 for b in blobs], np.int32)
             tokens = np.frombuffer(b"".join(blobs), "<u4")
-            pairs = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) << 32 | tokens)
-            terms, counts = np.unique(pairs & 0xFFFFFFFF, return_counts=True)
+            _, terms, _ = doc_terms(tokens, lens)
+            counts = np.bincount(terms)
+            terms = np.flatnonzero(counts)
+            counts = counts[terms]
             narrow = tokens.astype("<u2") if not len(tokens) or tokens.max() < 1 << 16 else tokens
             row = pa.RecordBatch.from_arrays(
                 [
@@ -124,8 +196,7 @@ class Index:
 
     def __init__(self, tokens: np.ndarray, lens: np.ndarray, idf: np.ndarray, mean_len: float):
         n = len(lens)
-        pairs, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), lens) << 32 | tokens, return_counts=True)
-        doc, term = pairs >> 32, pairs & 0xFFFFFFFF
+        doc, term, tf = doc_terms(tokens, lens)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[doc] / mean_len))
         self.n, self.terms = n, term
         self.of_doc = np.searchsorted(doc, np.arange(n + 1))
