@@ -70,3 +70,11 @@ def process_cache() -> dict:
     import types
 
     return sys.modules.setdefault("_blockloom_worker_cache", types.ModuleType("_blockloom_worker_cache")).__dict__
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps, which a long job would else keep."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -15,6 +15,7 @@ from blockloom.llm.packing import pack
 from blockloom.llm.pii import pseudonymize
 from blockloom.llm.simhash import simhash_groups
 from blockloom.llm.sketch import edited_fingerprints
+from blockloom.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_bitmaps(docs, line_dedup(docs, min_docs=10, min_chars=1), digest=True)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400, digest=True)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), words=3, distance=2).select("doc_id", "fingerprint", "component_id")
 
@@ -98,6 +103,7 @@ SELECT doc_id, size, source_size, target, (least(floor(rate) + (draw < rate - fl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
