@@ -55,8 +55,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, _, _ = grams(letters(text))
             sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
             sums[lang] += np.bincount(rows, minlength=BUCKETS)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], names=["lang", "counts"])
+    for lang, total in sums.items():
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(total[some])], names=["lang", "bucket", "n"])
 
 
 def unit(doc_id: Column) -> Column:
@@ -68,8 +69,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], n
     """(doc_id, text, lang), all non-null, to the languages and their log-probabilities (BUCKETS x languages).
 
     The sample takes each language's documents at a rate that gives it an equal part of
-    ``train_rows``, so its size doesn't grow with the table; the driver receives eight
-    fixed-size count tables a language.
+    ``train_rows``, so its size doesn't grow with the table; the driver receives one
+    row a language, of bounded size.
     """
     totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
     totals = [(r.lang, r.n) for r in totals.collect()]
@@ -79,9 +80,12 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], n
     rates = labelled.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in totals], "r_lang string, rate double")
     rates = broadcast_if_small(rates)
     sample = labelled.join(rates, labelled["lang"] == rates["r_lang"]).filter(unit(F.col("doc_id")) < F.col("rate")).select("doc_id", "lang", "text").repartition(8, "doc_id")
+    counted = sample.select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # one row a language, of at most BUCKETS pairs
     sums: dict[str, np.ndarray] = {}
-    for r in sample.select("lang", "text").mapInArrow(_counts, "lang string, counts binary").collect():
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, "<i8")
+    for r in counted.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
+        sums[r.lang] = np.zeros(BUCKETS, np.int64)
+        sums[r.lang][r.at] = r.n
     langs = sorted(sums)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
