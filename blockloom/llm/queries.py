@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import license_scan as licenses
+from blockloom.llm.ann import nearest
 from blockloom.llm.langid import held_out, train_and_identify
 from blockloom.llm.line_dedup import apply_bitmaps, line_dedup
 from blockloom.llm.mixing import mix
@@ -58,6 +59,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
+    "op4_nearest": op4_nearest,
     "op5_license_scan": op5_license_scan,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
