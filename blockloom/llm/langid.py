@@ -213,3 +213,30 @@ def train_and_identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, penalty: f
     labelled = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     langs, table = fit(labelled, train_rows)
     return identify(own, langs, table, penalty)
+
+
+def _keep(langs: list[str], table: np.ndarray, penalty: float, text_at: int, lang_at: int):
+    predict = _predict(langs, table, penalty)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_at)], names=["doc_id", "text"])
+            found = [x for out in predict(iter([own])) for x in out.column("lang_pred").to_pylist()]
+            columns = list(batch.columns)
+            known = columns[lang_at].to_pylist()
+            columns[lang_at] = pa.array([k if k is not None else f for k, f in zip(known, found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array([f != UNKNOWN for f in found]))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS, penalty: float = 2.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with its own columns, without the documents whose language can't be told; a null language is filled in.
+
+    Models are fitted on the labelled documents that are not held out. Text and language are strings.
+    """
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    langs, table = fit(own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))), train_rows)
+    return docs.mapInArrow(_keep(langs, table, penalty, docs.columns.index(text_col), docs.columns.index(lang_col)), docs.schema)

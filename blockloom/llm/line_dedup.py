@@ -196,3 +196,17 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False, id_
     both = texts.join(maps, same_document(texts, maps), "left").select(texts["doc_id"], texts["text"].cast("binary").alias("text"), maps["keep_bitmap"])
     what = "kept_sha256" if digest else "kept_text"
     return both.mapInArrow(_apply(not digest), f"doc_id long, n_lines long, n_dropped long, {what} string")
+
+
+def without_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its own columns, the dropped lines gone from the text; a null text stays null."""
+    own = {f.name: f"_own{i}" for i, f in enumerate(docs.schema.fields)}
+    texts = docs.select(*(docs[c].alias(own[c]) for c in docs.columns), docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    texts = texts.withColumn("rid", row_key())
+    maps = bitmaps.select(F.col("doc_id").alias("_map_id"), F.col("rid").alias("_map_rid"), "keep_bitmap")
+    both = texts.join(maps, (texts["rid"] == maps["_map_rid"]) & texts["doc_id"].eqNullSafe(maps["_map_id"]), "left")
+    rest = [own[c] for c in docs.columns if c != text_col]
+    found = both.select(*rest, F.col("text").isNull().alias("_null"), F.col("text").cast("binary").alias("text"), "keep_bitmap")
+    kinds = ", ".join(f"{own[f.name]} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
+    done = found.mapInArrow(_apply(True), f"{kinds}, _null boolean, n_lines long, n_dropped long, kept_text string")
+    return done.select(*(F.when(~F.col("_null"), F.col("kept_text")).alias(c) if c == text_col else F.col(own[c]).alias(c) for c in docs.columns))

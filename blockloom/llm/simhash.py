@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import documents, materialize
+from blockloom.llm.common import documents, materialize, row_key
 from blockloom.llm.graph import connected_components
 
 SEED = 42
@@ -47,15 +47,15 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = b"".join([simhash(t, words) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.frombuffer(data, ">i8").astype(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(np.frombuffer(data, ">i8").astype(np.int64))], names=["doc_id", "rid", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long), one row for each row of ``docs``; null and empty texts have fp 0."""
+    """(doc_id, rid, fp long), one row for each row of ``docs``; null and empty texts have fp 0."""
     texts = documents(docs, id_col, text_col)
-    return texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+    return texts.select("doc_id", row_key().alias("rid"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, rid long, fp long")
 
 
 def _bounds(n_blocks: int) -> list[int]:
@@ -159,7 +159,7 @@ def near_pairs(distinct: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp long, fingerprint (16 hex digits), component_id; one row for each row of ``docs``.
+    """doc_id, rid, fp long, fingerprint (16 hex digits), root, component_id; one row for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id that chains of links reach. Null and empty texts have
     fingerprint zero and are linked like any other; a null doc_id is in a component but names none
@@ -171,6 +171,20 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
     roots = connected_components(near_pairs(distinct.select("fp"), distance))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = rooted.join(named, "root").select("fp", "component_id")
+    of_print = rooted.join(named, "root").select("fp", "root", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(of_print, "fp").select("doc_id", "fp", hexed, "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "rid", "fp", hexed, "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its own columns, one row of each component: its least doc_id (a null id only if all are).
+
+    Rows that share that id go by a hash of the row; of identical rows one stays.
+    """
+    groups = simhash_groups(docs, words, distance, id_col, text_col)
+    first = materialize(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("f"), F.count("*").alias("n")).select("f.doc_id", "f.rid"), "first")
+    f = first.select(F.col("doc_id").alias("_first_id"), F.col("rid").alias("_first_rid"))
+    key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    kept = docs.join(f, (key == f["_first_rid"]) & docs[id_col].cast("long").eqNullSafe(f["_first_id"]), "left_semi")
+    same = groups.groupBy("doc_id", "rid").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if same else kept
