@@ -1,7 +1,7 @@
 """Packing by lexical retrieval: a sharded BM25 index hands each seed its unused neighbours.
 
-Documents are dealt over shards of bounded size by a hash. A shard tokenises its documents once and
-is written as one row. BM25 weights use document frequencies and lengths over all documents; as
+Documents are dealt by a hash and cut into shards of bounded size. A shard tokenises its documents
+once and is written as one row. BM25 weights use document frequencies and lengths over all documents; as
 terms are token ids, those statistics are bounded by the vocabulary. Each shard then builds its
 inverted index and fills windows: the seed (the rest of a cut document, or the next unused one)
 is followed by its unused neighbours, best score first, until the window is full. The last
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import documents, materialize, process_cache, row_key
 
-#: Bytes of text in a shard, on average; a shard is cut where it exceeds twice that.
-SHARD_BYTES = 3_000_000
+#: Bytes of text in a shard; it is cut where it reaches them.
+SHARD_BYTES = 2_000_000
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
 #: Words that a worker remembers the ids of.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 _MARK = b"<|"
 #: Words that decide whether a tokenizer's model can be asked directly.
 _PROBES = ("the", "retrieval", "zzxqj", "a", "thanontioner", "été", "ciónñ", "größe")
@@ -133,13 +133,16 @@ def doc_terms(tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (pairs >> kind(bits)).astype(np.int64), (pairs & kind((1 << bits) - 1)).astype(np.int64), tf
 
 
-_SHARD = "shard long, first_seq long, doc_ids array<long>, n_ids array<int>, ids binary, df_ids binary, df_counts binary"
+_SHARD = "first_seq long, doc_ids array<long>, n_ids array<int>, ids binary, df_ids binary, df_counts binary"
 
 
 def _tokenize(json: str, end_id: int, window: int, most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         enc, end = encoder(json), np.array([end_id], "<u4").tobytes()
-        shard, seq, ids, texts, size = None, 0, [], [], 0
+        # sequences are numbered from the partition's number; the shards are written once, and so are the numbers
+        seq, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, ids, texts, size
@@ -153,25 +156,22 @@ def _tokenize(json: str, end_id: int, window: int, most_bytes: int):
             narrow = tokens.astype("<u2") if not len(tokens) or tokens.max() < 1 << 16 else tokens
             row = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([shard], pa.int64()), pa.array([seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())),
+                    pa.array([seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())),
                     pa.array([narrow.tobytes()], pa.binary()), pa.array([terms.astype("<u4").tobytes()], pa.binary()), pa.array([counts.astype("<u4").tobytes()], pa.binary()),
                 ],
-                names=["shard", "first_seq", "doc_ids", "n_ids", "ids", "df_ids", "df_counts"],
+                names=["first_seq", "doc_ids", "n_ids", "ids", "df_ids", "df_counts"],
             )
             seq += len(tokens) // window + 1 + window.bit_length()
             ids, texts, size = [], [], 0
             return row
 
         for batch in batches:
-            for s, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "text")), strict=True):
-                if s != shard or size > most_bytes:
-                    if ids:
-                        yield flush()
-                    if s != shard:
-                        shard, seq = s, 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(doc_id)
                 texts.append(text or b"")
                 size += len(text or b"")
+                if size >= most_bytes:
+                    yield flush()
         if ids:
             yield flush()
 
@@ -270,7 +270,7 @@ def _powers(pieces: list[tuple[int, int, int, int, int]], n: int, seq: int) -> l
 def _pack(idf: np.ndarray, mean_len: float, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, first, doc_ids, lens, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "first_seq", "doc_ids", "n_ids", "ids")), strict=True):
+            for first, doc_ids, lens, blob in zip(*(batch.column(c).to_pylist() for c in ("first_seq", "doc_ids", "n_ids", "ids")), strict=True):
                 lens = np.array(lens, np.int64)
                 wide = len(blob) == 4 * int(lens.sum())
                 tokens = np.frombuffer(blob, "<u4" if wide else "<u2").astype("<u4")
@@ -280,7 +280,7 @@ def _pack(idf: np.ndarray, mean_len: float, window: int, with_ids: bool):
                 raw = [tokens[begins[d] + s : begins[d] + s + n].tobytes() for d, s, n, _, _ in pieces]
                 cols = [
                     pa.array([doc_ids[d] for d in doc.tolist()], pa.int64()), pa.array(start), pa.array(length), pa.array([zlib.crc32(r) for r in raw], pa.int64()),
-                    pa.array(lens[doc]), pa.array(shard * (1 << 32) + first + seq), pa.array(offset),
+                    pa.array(lens[doc]), pa.array(first + seq), pa.array(offset),
                 ]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 if with_ids:
@@ -300,10 +300,8 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, end_id: int
     packed each for itself; a null doc_id stays null. An empty table gives no pieces.
     """
     texts = documents(docs, id_col, text_col).withColumn("rid", row_key())
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(1, -(-total // shard_bytes))
-    dealt = texts.select(F.pmod("rid", F.lit(n_shards)).alias("shard"), "rid", "doc_id", F.col("text").cast("binary").alias("text")).repartition("shard").sortWithinPartitions("shard", "rid", "doc_id")
-    shards = materialize(dealt.select("shard", "doc_id", "text").mapInArrow(_tokenize(tokenizer_json, end_id, window, 2 * shard_bytes), _SHARD), "shards")
+    dealt = texts.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).repartition("rid").sortWithinPartitions("rid", "doc_id")
+    shards = materialize(dealt.select("doc_id", "text").mapInArrow(_tokenize(tokenizer_json, end_id, window, shard_bytes), _SHARD), "shards")
     sizes = shards.agg(F.sum(F.size("n_ids")), F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda s, x: s + x))).first()
     n_docs, n_tokens = sizes[0] or 0, sizes[1] or 0
     # at most one row for each token of the vocabulary
@@ -312,4 +310,4 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, end_id: int
     for r in df:
         idf[r.term] = np.log1p((n_docs - r.df + 0.5) / (r.df + 0.5))
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return shards.select("shard", "first_seq", "doc_ids", "n_ids", "ids").mapInArrow(_pack(idf, max(1.0, n_tokens / max(1, n_docs)), window, with_ids), kinds)
+    return shards.select("first_seq", "doc_ids", "n_ids", "ids").mapInArrow(_pack(idf, max(1.0, n_tokens / max(1, n_docs)), window, with_ids), kinds)
