@@ -18,11 +18,26 @@ from blockloom.operators.codec import checksum
 
 #: First eight bytes of our files. Files of other writers of these layouts are read by giving theirs.
 MAGIC_INDEXED, MAGIC_INTERLEAVED, MAGIC_CHUNKED, TRAILER = b"BLKLOOM2", b"BLKLOOMI", b"BLKLOOM3", b"BLKLOOMX"
+
+
+class Form:
+    """A fixed binary record (struct.Struct can't be sent to the executors)."""
+
+    def __init__(self, form: str):
+        self.form, self.size = form, struct.calcsize(form)
+
+    def pack(self, *values) -> bytes:
+        return struct.pack(self.form, *values)
+
+    def unpack_from(self, data: bytes, at: int = 0) -> tuple:
+        return struct.unpack_from(self.form, data, at)
+
+
 # Fixed values of the layouts.
-HEADER = struct.Struct("<8sIQII8s4Q")
-ENTRY = struct.Struct("<8Q")
-CHUNKED = struct.Struct("<8sIIQII")
-RECORD = struct.Struct("<II5Q")
+HEADER = Form("<8sIQII8s4Q")
+ENTRY = Form("<8Q")
+CHUNKED = Form("<8sIIQII")
+RECORD = Form("<II5Q")
 RECORD_MAGIC = 0x434B4E48
 VERSION_INDEXED, VERSION_CHUNKED = 2, 3
 
@@ -91,7 +106,7 @@ def _trailer(data: bytes, at: int) -> bytes | None:
     return data[at + 8 : at + 16][::-1] if data[at : at + 8] == TRAILER and len(data) >= at + 16 else None
 
 
-def _take(data: bytes, at: int, form: struct.Struct) -> tuple:
+def _take(data: bytes, at: int, form: Form) -> tuple:
     if len(data) < at + form.size:
         raise BadData("a file cut short")
     return form.unpack_from(data, at)

@@ -32,6 +32,11 @@ def split_blocks(objs: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     return found.select("object_id", "block_id", piece.alias("payload")).select("object_id", "block_id", F.octet_length("payload").cast("long").alias("raw_size"), "payload")
 
 
+def spread(blocks: DataFrame) -> DataFrame:
+    """The blocks dealt over all tasks; for few or large objects, where the scan alone gives too few tasks."""
+    return blocks.repartition("object_id", "block_id")
+
+
 def split_chunks(objs: DataFrame, chunk: int = 4 << 20, history: int = 1 << 20) -> DataFrame:
     """Blocks of ``chunk`` bytes with history_size: how many bytes before a chunk a window would still hold.
 

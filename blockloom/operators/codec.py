@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import parse, tokens
 from blockloom.functions.entropy import pack_streams, unpack_streams
-from blockloom.operators.blocks import BLOCK_SIZE, STREAMS, concat_blocks, split_blocks
+from blockloom.operators.blocks import BLOCK_SIZE, STREAMS, concat_blocks, split_blocks, spread
 
 OK, BAD_DATA, BAD_CHECKSUM, NULL = "OK", "BAD_DATA", "BAD_CHECKSUM", "NULL"
 
@@ -88,7 +88,7 @@ def quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def roundtrip(objs: DataFrame, block_size: int = BLOCK_SIZE, level: int = 2, entropy: bool = True) -> DataFrame:
     """(object_id, payload) after splitting, encoding, decoding and joining; empty objects come back empty."""
-    decoded = decode_blocks(encode_blocks(split_blocks(objs, block_size), level, entropy), entropy)
+    decoded = decode_blocks(encode_blocks(spread(split_blocks(objs, block_size)), level, entropy), entropy)
     good, _ = quarantine(decoded)
     empty = objs.filter(F.octet_length("payload") == 0).select("object_id", "payload")
     return concat_blocks(good.select("object_id", "block_id", "payload")).unionByName(empty)

@@ -52,6 +52,10 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.split_blocks(texts(spark, sf_dir), BLOCK)
 
 
+def encoded(spark: SparkSession, sf_dir: str, entropy: bool = True) -> DataFrame:
+    return codec.encode_blocks(B.spread(split(spark, sf_dir)), entropy=entropy)
+
+
 def named(frame: DataFrame, *columns: str | Column) -> DataFrame:
     return frame.select(F.col("object_id").alias("doc_id"), *columns)
 
@@ -139,8 +143,7 @@ def stream_concat(spark, sf_dir):
 @query(f"SELECT doc_id, b AS block_id, sha256(raw) AS sha256 FROM {BLOCKS} WHERE b = 1")
 def random_access(spark, sf_dir):
     """One block of each object; the filter stands before the decoding."""
-    encoded = codec.encode_blocks(split(spark, sf_dir))
-    return named(codec.decode_blocks(encoded.filter("block_id = 1")).filter("status = 'OK'"), "block_id", sha())
+    return named(codec.decode_blocks(encoded(spark, sf_dir).filter("block_id = 1")).filter("status = 'OK'"), "block_id", sha())
 
 
 @query(f"SELECT doc_id, (n * 8192)::BIGINT AS size, (CASE WHEN n * 8192 < 16777216 THEN 13 WHEN n * 8192 < 134217728 THEN 15 ELSE 17 END)::INT AS hash_log FROM {D}")
@@ -241,19 +244,19 @@ def run_expand(spark, sf_dir):
 
 @query(f"SELECT doc_id, 'OK' AS status, ((n + {BLOCK - 1}) // {BLOCK})::BIGINT AS n_blocks FROM {D} WHERE n > 0")
 def encode_status(spark, sf_dir):
-    return named(codec.encode_blocks(split(spark, sf_dir)).groupBy("object_id", "status").agg(F.count("*").alias("n_blocks")), "status", "n_blocks")
+    return named(encoded(spark, sf_dir).groupBy("object_id", "status").agg(F.count("*").alias("n_blocks")), "status", "n_blocks")
 
 
 @query(f"SELECT doc_id, b AS block_id, 1::BIGINT AS n_markers FROM {BLOCKS}")
 def block_markers(spark, sf_dir):
-    rows = codec.token_rows(codec.encode_blocks(split(spark, sf_dir), entropy=False), entropy=False)
+    rows = codec.token_rows(encoded(spark, sf_dir, entropy=False), entropy=False)
     return named(rows.groupBy("object_id", "block_id").agg(F.count_if(F.col("kind") == "marker").alias("n_markers")), "block_id", "n_markers")
 
 
 @query(f"SELECT doc_id, b AS block_id, octet_length(raw)::BIGINT AS covered FROM {BLOCKS}")
 def size_conservation(spark, sf_dir):
     """Literals and matches of a block add up to its size."""
-    rows = codec.token_rows(codec.encode_blocks(split(spark, sf_dir), entropy=False), entropy=False)
+    rows = codec.token_rows(encoded(spark, sf_dir, entropy=False), entropy=False)
     return named(rows.groupBy("object_id", "block_id").agg(F.sum("length").alias("covered")), "block_id", "covered")
 
 
@@ -325,7 +328,7 @@ def xxh3(spark, sf_dir):
 
 @query(f"SELECT doc_id, b AS block_id, 'OK' AS status, sha256(raw) AS sha256 FROM {BLOCKS}")
 def verify_ok(spark, sf_dir):
-    return named(codec.decode_blocks(codec.encode_blocks(split(spark, sf_dir))), "block_id", "status", sha())
+    return named(codec.decode_blocks(encoded(spark, sf_dir)), "block_id", "status", sha())
 
 
 def _flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +342,8 @@ def _flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @query(f"SELECT doc_id, doc_id % 2 = 1 AS quarantined, CASE WHEN doc_id % 2 = 0 THEN sha256(x) END AS sha256 FROM {D} WHERE n > 0")
 def corruption_detect(spark, sf_dir):
-    encoded = codec.encode_blocks(split(spark, sf_dir), entropy=False)
-    decoded = codec.decode_blocks(encoded.mapInArrow(_flip, encoded.schema), entropy=False)
+    plain = encoded(spark, sf_dir, entropy=False)
+    decoded = codec.decode_blocks(plain.mapInArrow(_flip, plain.schema), entropy=False)
     good, bad = codec.quarantine(decoded)
     whole = named(B.concat_blocks(good), F.lit(False).alias("quarantined"), sha())
     return whole.unionByName(named(bad, F.lit(True).alias("quarantined"), F.lit(None).cast("string").alias("sha256")))
@@ -430,17 +433,17 @@ def container_interleaved_write(spark, sf_dir):
 
 @query()
 def ratio(spark, sf_dir):
-    return codec.compression_metrics(codec.encode_blocks(split(spark, sf_dir))).select("n_blocks", "raw_bytes", "ratio")
+    return codec.compression_metrics(encoded(spark, sf_dir)).select("n_blocks", "raw_bytes", "ratio")
 
 
 @query()
 def bpb(spark, sf_dir):
-    return codec.compression_metrics(codec.encode_blocks(split(spark, sf_dir))).select("raw_bytes", "bpb")
+    return codec.compression_metrics(encoded(spark, sf_dir)).select("raw_bytes", "bpb")
 
 
 @query()
 def stream_totals(spark, sf_dir):
-    return codec.compression_metrics(codec.encode_blocks(split(spark, sf_dir))).select("raw_bytes", *(f"{s}_bytes" for s in B.STREAMS))
+    return codec.compression_metrics(encoded(spark, sf_dir)).select("raw_bytes", *(f"{s}_bytes" for s in B.STREAMS))
 
 
 @query(f"SELECT doc_id, b AS block_id, 'OK' AS status, octet_length(raw)::BIGINT AS raw_size, sha256(raw) AS sha256 FROM {BLOCKS}")

@@ -110,9 +110,9 @@ class _Reader(DataSourceReader):
 def _probe(head: bytes) -> tuple[int, int]:
     """(object size, block size) from a file's first bytes."""
     if head[:8] in (container.MAGIC_INDEXED, container.MAGIC_INTERLEAVED):
-        _, _, size, block, *_ = container.HEADER.unpack(head[: container.HEADER.size])
+        _, _, size, block, *_ = container.HEADER.unpack_from(head)
     elif head[:8] == container.MAGIC_CHUNKED:
-        _, _, _, size, _, block = container.CHUNKED.unpack(head[: container.CHUNKED.size])
+        _, _, _, size, _, block = container.CHUNKED.unpack_from(head)
     else:
         raise BadData("no container")
     if block < 1:
