@@ -1,7 +1,8 @@
 """The parse of a block into literals and matches.
 
-Match candidates are found for all positions at once: positions are grouped by the value of their next four (and
-eight) bytes, and each knows its predecessors in its group. Only the greedy walk over them is sequential.
+Match candidates are found for all positions at once: positions are grouped by the value of their next six (and
+eight) bytes, and each knows its predecessors in its group. No match is shorter than six bytes, so positions
+without such a predecessor are passed over. Only the greedy walk over the others is sequential.
 Nothing is carried from one block to the next, so blocks are independent.
 """
 
@@ -36,10 +37,9 @@ def previous_same(data: np.ndarray, width: int) -> np.ndarray:
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    kind = np.uint32 if width == 4 else np.uint64
-    value = np.zeros(n, kind)
+    value = np.zeros(n, np.uint64)
     for i in range(width):
-        value |= data[i : i + n].astype(kind) << kind(8 * i)
+        value |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
     order = np.argsort(value, kind="stable")
     same = value[order][1:] == value[order][:-1]
     before = np.full(n, -1, np.int64)
@@ -70,39 +70,44 @@ def encode(block: bytes, level: int = 2) -> tuple[bytes, bytes, bytes, bytes]:
     writer = TokenWriter()
     n = len(block)
     data = np.frombuffer(block, np.uint8)
-    chain = previous_same(data, 8).tolist() if n > TAIL else []
-    short = previous_same(data, 4).tolist() if n > TAIL else []
-    effort = attempts(level)
     end = n - TAIL
+    if end > 0:
+        chain, near = previous_same(data, 8).tolist(), previous_same(data, MIN_LENGTH)
+        places = np.flatnonzero(near[:end] >= 0)
+        # the next position that can start a match
+        onward = np.append(places, end)[np.searchsorted(places, np.arange(end))].tolist()
+        near = near.tolist()
+    effort = min(attempts(level), MOST_CANDIDATES)
 
     def longest(at: int) -> tuple[int, int]:
         """(length, distance) of the best match at a position; recent distances win ties."""
         most = min(n - at, MAX_MATCH)
         best = found = 0
-        four = block[at : at + 4]
+        first = block[at : at + MIN_LENGTH]
         for distance in writer.recent:
-            if at >= distance and block[at - distance : at - distance + 4] == four:
+            if at >= distance and block[at - distance : at - distance + MIN_LENGTH] == first:
                 length = common_length(block, at, at - distance, most)
-                if length >= MIN_LENGTH and length > best:
+                if length > best:
                     best, found = length, distance
-        for links, tries in ((chain, min(effort, MOST_CANDIDATES)), (short, 1)):
-            here = links[at]
-            while here >= 0 and tries and best < most:
-                tries -= 1
-                distance = at - here
-                # only a longer match matters, so its last byte is looked at first
-                if block[here + best] == block[at + best]:
-                    length = common_length(block, at, here, most)
-                    if length > best and length >= min_match_length(distance):
-                        best, found = length, distance
-                here = links[here]
+        here, tries = chain[at], effort
+        while here >= 0 and tries and best < most:
+            tries -= 1
+            distance = at - here
+            # only a longer match matters, so its last byte is looked at first
+            if block[here + best] == block[at + best]:
+                length = common_length(block, at, here, most)
+                if length > best and length >= min_match_length(distance):
+                    best, found = length, distance
+            here = chain[here]
+        if not best and at - near[at] < TIERS[0][0]:  # six or seven bytes, close by
+            best, found = common_length(block, at, near[at], most), at - near[at]
         return best, found
 
     at = pending = 0
     while at < end:
-        if chain[at] < 0 and short[at] < 0 and not any(at >= d and block[at] == block[at - d] for d in writer.recent):
-            at += 1
-            continue
+        at = onward[at]
+        if at >= end:
+            break
         length, distance = longest(at)
         if not length:
             at += 1

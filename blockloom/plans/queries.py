@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import columns as cols
 from blockloom.functions import container, entropy, tokens
+from blockloom.functions.api import compress_column, decompress_column
 from blockloom.operators import blocks as B
 from blockloom.operators import codec
 from blockloom.sources.container import from_containers, to_containers
@@ -428,6 +429,13 @@ def container_interleaved_write(spark, sf_dir):
     return _written(spark, sf_dir, "interleaved")
 
 
+@query("SELECT item_id, text FROM benchmark")
+def column_functions(spark, sf_dir):
+    """Compression and back as functions of a column."""
+    packed = table(spark, sf_dir, "benchmark").select("item_id", compress_column(F.col("text").cast("binary"), block_size=BLOCK).alias("packed"))
+    return packed.select("item_id", decompress_column(F.col("packed")).cast("string").alias("text"))
+
+
 # Metrics and streams
 
 

@@ -82,3 +82,18 @@ def test_data_source(spark, tmp_path):
         got = {r.object_id: r for r in from_containers(to_containers(objs, layout, 64)).collect()}
         assert bytes(got[1].payload) == b"abc" * 500 and got[2].status == "NULL" and got[3].payload == b"" and got[3].status == "OK"
     assert from_containers(objs.select("object_id", F.lit(b"junk").alias("container"))).filter("status != 'BAD_DATA'").count() == 0
+
+
+def test_functions_of_bytes_and_columns(spark):
+    from pyspark.sql import functions as F
+
+    from blockloom.functions import api
+
+    payload = sample(3000, 7)
+    for layout in api.WRITERS:
+        assert api.decompress(api.compress(payload, block_size=700, layout=layout), 3000) == payload
+        with pytest.raises(BadData):
+            api.decompress(api.compress(payload, block_size=700, layout=layout), 2999)
+    frame = spark.createDataFrame([(1, payload), (2, None), (3, b"")], "id long, x binary").withColumn("z", api.compress_column(F.col("x"), block_size=512))
+    rows = {r.id: r for r in frame.select("id", "x", api.decompress_column(F.col("z")).alias("y"), api.decompress_column(F.substring("z", 1, 40)).alias("bad")).collect()}
+    assert bytes(rows[1].y) == payload and rows[2].y is None and rows[3].y == b"" and rows[1].bad is None
