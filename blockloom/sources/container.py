@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from blockloom.functions import container, parse
 from blockloom.functions.entropy import unpack_streams
@@ -73,10 +73,15 @@ class _Range(InputPartition):
         self.path, self.first, self.last = path, first, last
 
 
-def _open(path: str):
+def _place(path: str):
+    """(file system, path there) of a path or URI."""
     from pyarrow import fs
 
-    system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _open(path: str):
+    system, place = _place(path)
     return system.open_input_file(place)
 
 
@@ -120,10 +125,67 @@ def _probe(head: bytes) -> tuple[int, int]:
     return size, block
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, moves: list[tuple[str, str]]):
+        self.moves = moves
+
+
+class _Writer(DataSourceWriter):
+    """Writes a file an object; files take their names when all tasks have ended."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"].rstrip("/")
+        self.layout = options.get("layout", "chunked")
+        self.block_size = int(options.get("block_size", BLOCK_SIZE))
+        if self.layout != "raw" and self.layout not in LAYOUTS:
+            raise ValueError(f"no layout {self.layout}")
+
+    def write(self, rows) -> WriterCommitMessage:
+        import uuid
+        from urllib.parse import quote
+
+        from blockloom.functions.api import compress
+
+        system, base = _place(self.path)
+        aside = f"{base}/_temporary-{uuid.uuid4().hex}"
+        system.create_dir(aside, recursive=True)
+        moves = []
+        for row in rows:
+            if row["payload"] is None:
+                continue
+            data = bytes(row["payload"])
+            name = quote(str(row["object_id"]), safe="")
+            with system.open_output_stream(f"{aside}/{name}") as f:
+                f.write(data if self.layout == "raw" else compress(data, block_size=self.block_size, layout=self.layout))
+            moves.append((f"{aside}/{name}", f"{base}/{name}"))
+        return _Written(moves)
+
+    def commit(self, messages) -> None:
+        system, _ = _place(self.path)
+        for m in messages:
+            for a, b in m.moves if m else []:
+                system.move(a, b)
+        self._tidy()
+
+    def abort(self, messages) -> None:
+        self._tidy()
+
+    def _tidy(self) -> None:
+        from pyarrow import fs
+
+        system, base = _place(self.path)
+        for info in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if info.base_name.startswith("_temporary-"):
+                system.delete_dir(info.path)
+
+
 class ContainerSource(DataSource):
     """``spark.read.format("blockloom").load(path)``: (object_id, block_id, raw_size, payload) of container files.
 
     Option ``path``: a file or several, comma-separated; ``blocks_per_partition``: 64 by default.
+    ``df.write.format("blockloom").save(path)``: a file for each row of (object_id, payload), named by its id; option
+    ``layout``: chunked (default), indexed, interleaved, or raw for the bytes alone; ``block_size``. Null payloads
+    make no file.
     Register it once a session: ``spark.dataSource.register(ContainerSource)``.
     """
 
@@ -136,3 +198,6 @@ class ContainerSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options)

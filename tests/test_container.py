@@ -97,3 +97,17 @@ def test_functions_of_bytes_and_columns(spark):
     frame = spark.createDataFrame([(1, payload), (2, None), (3, b"")], "id long, x binary").withColumn("z", api.compress_column(F.col("x"), block_size=512))
     rows = {r.id: r for r in frame.select("id", "x", api.decompress_column(F.col("z")).alias("y"), api.decompress_column(F.substring("z", 1, 40)).alias("bad")).collect()}
     assert bytes(rows[1].y) == payload and rows[2].y is None and rows[3].y == b"" and rows[1].bad is None
+
+
+@pytest.mark.parametrize("layout", ["raw", "indexed", "interleaved", "chunked"])
+def test_data_source_writes_a_file_an_object(spark, tmp_path, layout):
+    from blockloom.sources.container import ContainerSource
+
+    spark.dataSource.register(ContainerSource)
+    objs = {"a/b": sample(2000, 1), "c": b"", "d e": sample(700, 2)}
+    frame = spark.createDataFrame([*objs.items(), ("none", None)], "object_id string, payload binary")
+    frame.repartition(3).write.format("blockloom").option("layout", layout).option("block_size", "512").mode("append").save(str(tmp_path / "out"))
+    files = {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()}
+    assert set(files) == {"a%2Fb", "c", "d%20e"}
+    read = (lambda x: x) if layout == "raw" else container.read_object
+    assert [read(files[n]) for n in ("a%2Fb", "c", "d%20e")] == list(objs.values())
