@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import broadcast_if_small
+from blockloom.llm.common import broadcast_if_small, lean
 
 BUCKETS = 1 << 16
 #: At most so many labelled documents (in expectation), dealt evenly over the languages, fit the models.
@@ -80,7 +80,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], n
     rates = labelled.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in totals], "r_lang string, rate double")
     rates = broadcast_if_small(rates)
     sample = labelled.join(rates, labelled["lang"] == rates["r_lang"]).filter(unit(F.col("doc_id")) < F.col("rate")).select("doc_id", "lang", "text").repartition(8, "doc_id")
-    counted = sample.select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(lean(_counts, 1000), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # one row a language, of at most BUCKETS pairs
     sums: dict[str, np.ndarray] = {}
     for r in counted.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: floa
     columns are ignored.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return own.mapInArrow(_predict(langs, table, penalty), "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return own.mapInArrow(lean(_predict(langs, table, penalty), 1000), "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -239,4 +239,4 @@ def keep_identified(docs: DataFrame, train_rows: int = TRAIN_ROWS, penalty: floa
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     langs, table = fit(own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))), train_rows)
-    return docs.mapInArrow(_keep(langs, table, penalty, docs.columns.index(text_col), docs.columns.index(lang_col)), docs.schema)
+    return docs.mapInArrow(lean(_keep(langs, table, penalty, docs.columns.index(text_col), docs.columns.index(lang_col)), 1000), docs.schema)

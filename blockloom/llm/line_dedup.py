@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import WHITE, documents, materialize, row_key, same_document
+from blockloom.llm.common import WHITE, documents, lean, materialize, row_key, same_document
 
 _LINES = "h1 long, h2 long, rid long, doc_id long, pos int, n_lines int"
 _FOUND = "kind byte, h1 long, h2 long, rid long, doc_id long, pos int, n_lines int, n_docs long"
@@ -146,9 +146,9 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     a doc_id. An empty table gives an empty result; other columns are ignored.
     """
     texts = documents(docs, id_col, text_col).select("doc_id", row_key().alias("rid"), F.col("text").cast("binary").alias("text"))
-    lines = texts.mapInArrow(_lines(max(1, min_chars)), _LINES)
+    lines = texts.mapInArrow(lean(_lines(max(1, min_chars)), 1000), _LINES)
     ranged = lines.repartitionByRange("h1", "h2", "rid").sortWithinPartitions("h1", "h2", "rid", "pos")
-    found = materialize(ranged.mapInArrow(_stream(min_docs), _FOUND), "lines")
+    found = materialize(ranged.mapInArrow(lean(_stream(min_docs)), _FOUND), "lines")
     split = found.filter(F.col("kind") == _COUNT).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
     # at most two keys for each range partition, so the broadcast doesn't grow with the rows
     late = found.filter(F.col("kind") == _PENDING).join(F.broadcast(split), ["h1", "h2"], "left_semi")
@@ -195,7 +195,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False, id_
     maps = bitmaps.select("doc_id", "rid", "keep_bitmap")
     both = texts.join(maps, same_document(texts, maps), "left").select(texts["doc_id"], texts["text"].cast("binary").alias("text"), maps["keep_bitmap"])
     what = "kept_sha256" if digest else "kept_text"
-    return both.mapInArrow(_apply(not digest), f"doc_id long, n_lines long, n_dropped long, {what} string")
+    return both.mapInArrow(lean(_apply(not digest), 1000), f"doc_id long, n_lines long, n_dropped long, {what} string")
 
 
 def without_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,5 +208,5 @@ def without_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     rest = [own[c] for c in docs.columns if c != text_col]
     found = both.select(*rest, F.col("text").isNull().alias("_null"), F.col("text").cast("binary").alias("text"), "keep_bitmap")
     kinds = ", ".join(f"{own[f.name]} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    done = found.mapInArrow(_apply(True), f"{kinds}, _null boolean, n_lines long, n_dropped long, kept_text string")
+    done = found.mapInArrow(lean(_apply(True), 1000), f"{kinds}, _null boolean, n_lines long, n_dropped long, kept_text string")
     return done.select(*(F.when(~F.col("_null"), F.col("kept_text")).alias(c) if c == text_col else F.col(own[c]).alias(c) for c in docs.columns))

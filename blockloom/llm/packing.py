@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import documents, materialize, process_cache, row_key
+from blockloom.llm.common import documents, lean, materialize, process_cache, row_key
 
 #: Bytes of text in a shard; it is cut where it reaches them.
 SHARD_BYTES = 2_000_000
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
 #: Words that a worker remembers the ids of.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 _MARK = b"<|"
 #: Words that decide whether a tokenizer's model can be asked directly.
 _PROBES = ("the", "retrieval", "zzxqj", "a", "thanontioner", "été", "ciónñ", "größe")
@@ -301,7 +301,7 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, end_id: int
     """
     texts = documents(docs, id_col, text_col).withColumn("rid", row_key())
     dealt = texts.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).repartition("rid").sortWithinPartitions("rid", "doc_id")
-    shards = materialize(dealt.select("doc_id", "text").mapInArrow(_tokenize(tokenizer_json, end_id, window, shard_bytes), _SHARD), "shards")
+    shards = materialize(dealt.select("doc_id", "text").mapInArrow(lean(_tokenize(tokenizer_json, end_id, window, shard_bytes), 1000), _SHARD), "shards")
     sizes = shards.agg(F.sum(F.size("n_ids")), F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda s, x: s + x))).first()
     n_docs, n_tokens = sizes[0] or 0, sizes[1] or 0
     # at most one row for each token of the vocabulary
@@ -310,4 +310,4 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, end_id: int
     for r in df:
         idf[r.term] = np.log1p((n_docs - r.df + 0.5) / (r.df + 0.5))
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return shards.select("first_seq", "doc_ids", "n_ids", "ids").mapInArrow(_pack(idf, max(1.0, n_tokens / max(1, n_docs)), window, with_ids), kinds)
+    return shards.select("first_seq", "doc_ids", "n_ids", "ids").mapInArrow(lean(_pack(idf, max(1.0, n_tokens / max(1, n_docs)), window, with_ids), 1), kinds)

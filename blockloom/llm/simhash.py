@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import documents, materialize, row_key
+from blockloom.llm.common import documents, lean, materialize, row_key
 from blockloom.llm.graph import connected_components
 
 SEED = 42
@@ -55,7 +55,7 @@ def _fingerprints(words: int):
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rid, fp long), one row for each row of ``docs``; null and empty texts have fp 0."""
     texts = documents(docs, id_col, text_col)
-    return texts.select("doc_id", row_key().alias("rid"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, rid long, fp long")
+    return texts.select("doc_id", row_key().alias("rid"), F.col("text").cast("binary").alias("text")).mapInArrow(lean(_fingerprints(words), 1000), "doc_id long, rid long, fp long")
 
 
 def _bounds(n_blocks: int) -> list[int]:
@@ -155,7 +155,7 @@ def near_pairs(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """
     masks = block_masks(distance)
     dealt = distinct.select(F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("choice", "block"), "fp")
-    return dealt.repartition("choice", "block").sortWithinPartitions("choice", "block").mapInArrow(_bucket_edges(distance, masks), "u long, v long").distinct()
+    return dealt.repartition("choice", "block").sortWithinPartitions("choice", "block").mapInArrow(lean(_bucket_edges(distance, masks)), "u long, v long").distinct()
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import anchors
-from blockloom.llm.common import documents, materialize, release, row_key, same_document
+from blockloom.llm.common import documents, lean, materialize, release, row_key, same_document
 from blockloom.llm.interval import repeated_starts
 
 #: Bytes of a transform; small enough to stay in cache.
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None,
     spark = docs.sparkSession
     gram = gram or min(anchors.GRAM, max(1, length // 3))
     texts = documents(docs, id_col, text_col).select("doc_id", row_key().alias("rid"), F.col("text").cast("binary").alias("text"))
-    runs = materialize(texts.mapInArrow(_runs(length, gram), _RUNS), "runs")
+    runs = materialize(texts.mapInArrow(lean(_runs(length, gram), 1000), _RUNS), "runs")
     # equal runs collapse in the partial aggregate, so a hot anchor's copies are never gathered
     kinds = runs.groupBy("ah", "sh").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "rid", "loc")))
     size = (F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)) + length).cast("long")
@@ -212,12 +212,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None,
     # only anchors that have a run of weight one have anything left to find
     asked = live.filter("n_kinds > 1 AND least = 1").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("ah", "sh", "n", "loc")).alias("asked"))
     wanted = texts.join(asked, same_document(texts, asked)).select(texts["doc_id"], texts["rid"], "text", "asked")
-    pieces = materialize(wanted.mapInArrow(_texts(length), "ah long, sh long, n long, loc long, doc_id long, rid long, text binary"), "pieces")
+    pieces = materialize(wanted.mapInArrow(lean(_texts(length), 1000), "ah long, sh long, n long, loc long, doc_id long, rid long, text binary"), "pieces")
     release(spark)
     hot_keys = live.filter(f"bytes > {most} AND n_kinds > 1 AND least = 1").select("ah").distinct()
     some_hot = bool(hot_keys.limit(1).count())
     cold = pieces.join(hot_keys, "ah", "left_anti") if some_hot else pieces
-    spans = materialize(cold.repartition("ah").sortWithinPartitions("ah", "sh").select("ah", "n", "loc", "doc_id", "rid", "text").mapInArrow(_transform(length), _SPANS), "spans")
+    spans = materialize(cold.repartition("ah").sortWithinPartitions("ah", "sh").select("ah", "n", "loc", "doc_id", "rid", "text").mapInArrow(lean(_transform(length)), _SPANS), "spans")
     found = spans.unionByName(of_whole)
     if some_hot:
         found = found.unionByName(_by_contents(pieces.join(hot_keys, "ah", "left_semi"), length))
@@ -269,4 +269,4 @@ def suffix_dedup(docs: DataFrame, length: int = 400, digest: bool = False, gram:
     texts = documents(docs, id_col, text_col).withColumn("rid", row_key())
     both = texts.join(found, same_document(texts, found), "left").select(texts["doc_id"], texts["text"].cast("binary").alias("text"), found["spans"])
     what = "kept_sha256 string" if digest else "kept binary"
-    return both.mapInArrow(_remove(length, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {what}")
+    return both.mapInArrow(lean(_remove(length, digest), 1000), f"doc_id long, n_bytes long, n_removed long, n_spans long, {what}")
