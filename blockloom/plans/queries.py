@@ -6,8 +6,8 @@ ratios, containers written) have no SQL.
 
 from __future__ import annotations
 
-import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -459,10 +459,8 @@ def stream_encode(spark, sf_dir):
     """Documents as a stream of files, encoded and decoded in micro-batches, written once."""
     source = table(spark, sf_dir, "documents")
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-stream-")
-    base = f"{shared.rstrip('/')}/stream-{abs(hash((sf_dir, id(source))))}"
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet*")
     rows = decode_stream(encode_stream(B.objects(arriving, "doc_id", "text"), BLOCK))
     write_stream(named(rows, "block_id", "status", "raw_size", sha()), f"{base}/rows", f"{base}/state").awaitTermination()
-    found = spark.read.schema("doc_id long, block_id long, status string, raw_size long, sha256 string").parquet(f"{base}/rows")
-    shutil.rmtree(f"{base}/state", ignore_errors=True)
-    return found
+    return spark.read.schema("doc_id long, block_id long, status string, raw_size long, sha256 string").parquet(f"{base}/rows")
