@@ -23,13 +23,14 @@ from blockloom.llm.common import materialize, release
 K, REVERSE = 24, 24
 #: Random orders of the start, and vectors compared with each other there.
 ORDERS, BLOCK, PLANES = 6, 256, 14
-ROUNDS = 3
+ROUNDS = 4
 #: Candidates that a meeting proposes to each vector.
 PROPOSALS = 8
 #: Nodes in a query's pool, and at most so many rounds of questions.
-POOL, ASKS = 160, 12
-#: Vectors that are scored again, beyond those asked for.
-SLACK = 16
+POOL, ASKS = 256, 12
+#: Vectors that are scored again: so many beyond those asked for, and all whose similarity in 8-bit components is
+#: within the margin of those (rounding moves a similarity by a few thousandths).
+SLACK, MARGIN = 16, 0.01
 
 _ENTRY = np.dtype([("id", "<i8"), ("sim", "<f4")])
 _ROW = "node long, kind int, other long, data binary"
@@ -377,13 +378,20 @@ def greedy_search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, pool:
     return pools.select("node", "data")
 
 
-def _finalists(most: int):
+def _finalists(top: int):
+    """The nodes of each pool that may be among the ``top``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [d[: most * _STATE.itemsize] for d in batch.column("data").to_pylist()]
-            found = np.frombuffer(b"".join(data), _STATE)["id"]
-            query = np.repeat(batch.column("node").to_numpy(), [len(d) // _STATE.itemsize for d in data])
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(found)], names=["query", "found"])
+            query, found = [], []
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                pool = np.frombuffer(data, _STATE)  # best first
+                least = pool["sim"][min(top, len(pool)) - 1] - MARGIN
+                n = max(top + SLACK, int((pool["sim"] >= least).sum()))
+                found.append(pool["id"][:n])
+                query.append(np.full(len(found[-1]), node))
+            if query:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), pa.array(np.concatenate(found))], names=["query", "found"])
 
     return run
 
@@ -412,7 +420,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 5, k: int = K, roun
     ready = ids.select(F.col("query_id").alias("id"), "v").filter("id IS NOT NULL").mapInArrow(_prepare, "id long, exact binary, packed binary").dropDuplicates(["id", "exact"])
     asked = materialize(ready.join(nodes.select("node", "exact"), "exact").select(F.col("id").alias("query_id"), "node", F.col("exact").alias("q_exact")), "asked")
     pools = greedy_search(nodes, graph, asked, pool=pool)
-    best = pools.mapInArrow(_finalists(top + SLACK), "query long, found long")
+    best = pools.mapInArrow(_finalists(top), "query long, found long")
     scored = best.join(nodes.select(F.col("node").alias("found"), "exact", "ids"), "found")
     both = scored.join(asked, scored["query"] == asked["node"]).select("query_id", "ids", "q_exact", "exact")
     rated = both.mapInArrow(_cosine, "query_id long, ids array<long>, score double")
