@@ -90,21 +90,23 @@ def _at_most(bounds: list[int], x: Column) -> Column:
     return F.aggregate(steps, start, halve)["lo"]
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 2000, most_buckets: int = 16_384) -> DataFrame:
-    """``docs`` (doc_id, rid, text) with next_<column>: the values of the next row, descending doc_id, in a ring.
+def with_next(dealt: DataFrame, columns: list[str]) -> DataFrame:
+    """What :func:`dealt_by_range` returns, with next_<column>: the values of the next row, descending doc_id, in a ring.
 
-    Null ids come last, ties go by ``rid``. Rows are dealt once, by ranges of doc_id; the first row
-    of each range is also dealt to the range before it, so no window spans ranges and no task
-    sees more than one range. The driver sees one id a range, ``most_buckets`` at the most.
-    Call :func:`dealt_by_range` first.
+    Null ids come last, ties go by ``rid``.
     """
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("rid").desc())
     nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
-    return docs.select("*", *nexts).filter("guest = 0")
+    return dealt.select("*", *nexts).filter("guest = 0")
 
 
 def dealt_by_range(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 16_384) -> DataFrame:
-    """``docs`` (doc_id, rid, text) with bucket and guest, partitioned by bucket; see :func:`with_next`."""
+    """``docs`` (doc_id, rid, text) with bucket and guest, partitioned by bucket.
+
+    Rows are dealt once, by ranges of doc_id; the first row of each range is also dealt, as a guest, to the range
+    before it, so no window spans ranges and no task sees more than one range. The driver sees one id a range,
+    ``most_buckets`` at the most.
+    """
     spark = docs.sparkSession
     total = docs.agg(F.count("doc_id")).first()[0]
     n = max(1, min(most_buckets, -(-total // rows_per_bucket)))
