@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import documents, lean, materialize, process_cache, row_key
+from blockloom.llm.common import lean, materialize, process_cache, row_key
 
 #: Bytes of text in a shard; it is cut where it reaches them.
 SHARD_BYTES = 2_000_000
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
 #: Words that a worker remembers the ids of.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_000_000
 _MARK = b"<|"
 #: Words that decide whether a tokenizer's model can be asked directly.
 _PROBES = ("the", "retrieval", "zzxqj", "a", "thanontioner", "été", "ciónñ", "größe")
@@ -39,10 +39,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: What may stand after a plain word and is a piece of its own; no apostrophe, which can begin a contraction.
+_AFTER = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Words(dict):
+    """Word to ids; a word that is missing is encoded, remembered, and listed in ``fresh``."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.fresh = encode, []
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        self.fresh.append(word)
+        return ids
+
+
 class Encoder:
     """Token ids of whole texts. White space separates tokens, so words are encoded once and remembered.
 
-    Plain words (letters of the Latin blocks, perhaps with a full stop or comma after) skip the tokenizer's
+    Plain words (letters of the Latin blocks, perhaps with punctuation after) skip the tokenizer's
     normalisation and go to its merges directly, if probes show that this gives the same ids.
     """
 
@@ -53,67 +70,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
-        self.model = self.tokenizer.model
-        self.model._resize_cache(0)  # words are remembered here
+        self.tokenize = self.tokenizer.model.tokenize
+        self.tokenizer.model._resize_cache(0)  # words are remembered here
         self.letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
-        self.words: dict[bytes, bytes] = {}
-        self.stops = {s: self._slow([s])[0] for s in (b".", b",")}
-        self.direct = all(
-            self._merged(w) == self._slow([w.encode()])[0] and all(self._merged(w) + self.stops[s] == self._slow([w.encode() + s])[0] for s in self.stops) for w in _PROBES
-        )
-
-    def _slow(self, words: list[bytes]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 2000):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words[at : at + 2000]], add_special_tokens=False)
-            out += [np.array(e.ids, "<u4").tobytes() for e in found]
-        return out
+        self.ends: dict[bytes, bytes] = {}
+        self.words = _Words(self._word)
+        self.direct = all(self._merged(w) == self._slow(w.encode()) and all(self._merged(w) + self._slow(end) == self._slow(w.encode() + end) for end in (b".", b",", b"***", b").")) for w in _PROBES)
+
+    def _slow(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def _merged(self, word: str) -> bytes:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
-    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't remembered."""
-        new: dict[bytes, bytes] = {}
-        odd, known, stops, tokenize = [], self.words, self.stops, self.model.tokenize
+    def _word(self, word: bytes) -> bytes:
         if not self.direct:
-            return dict(zip(words, self._slow(words), strict=True))
-        for word in words:
-            stop = stops.get(word[-1:])
-            stem = word[:-1] if stop else word
-            ids = known.get(stem) or new.get(stem)
-            if ids is None:
-                if stem.isalpha() and stem.islower():
-                    ids = array("I", [t.id for t in tokenize(stem.decode())]).tobytes()
-                else:
-                    text = stem.decode().lower()
-                    if not text.isalpha() or max(text) >= "\u0180":
-                        odd.append(word)
-                        continue
-                    ids = self._merged(text)
-                new[stem] = ids
-            if stop:
-                new[word] = ids + stop
-        new.update(zip(odd, self._slow(odd), strict=True))
-        return new
+            return self._slow(word)
+        stem = word.rstrip(_AFTER)
+        if stem.isalpha() and stem.islower():
+            if len(stem) == len(word):
+                return array("I", [t.id for t in self.tokenize(word.decode())]).tobytes()
+        else:
+            text = stem.decode().lower()
+            if not text.isalpha() or max(text) >= "\u0180":
+                return self._slow(word)
+            if len(stem) == len(word):
+                return self._merged(text)
+        end = word[len(stem) :]
+        if end not in self.ends:
+            self.ends[end] = self._slow(end)
+        return self.words[stem] + self.ends[end]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words: list[bytes] = []
-        ends = []
-        for t in texts:  # ASCII case goes anyway, except inside the marks of special tokens
-            words += (t if _MARK in t else t.lower()).split()
-            ends.append(len(words))
-        found = list(map(self.words.get, words))
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        if gaps:
-            new = self._fresh(list({words[i] for i in gaps}))
-            for i in gaps:
-                found[i] = new[words[i]]
-            if len(self.words) + len(new) <= CACHED_WORDS:
-                self.words.update(new)
-        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        look, words = self.words.__getitem__, self.words
+        # ASCII case goes anyway, except inside the marks of special tokens
+        out = [b"".join(map(look, (t if _MARK in t else t.lower()).split())) for t in texts]
+        if len(words) > CACHED_WORDS:  # full: what was new isn't remembered
+            for word in words.fresh:
+                del words[word]
+        words.fresh.clear()
+        if len(self.ends) > 10_000:
+            self.ends.clear()
+        return out
 
 
 def encoder(json: str) -> Encoder:
@@ -291,16 +291,18 @@ def _pack(idf: np.ndarray, mean_len: float, window: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", near_col: str | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, unsigned 32-bit little-endian).
 
     ``tokenizer_json`` is the content of a tokenizer file whose tokens don't cross ASCII white space.
     Each document is its ids and ``end_id``; each id lies in exactly one piece. Sequences hold
-    ``window`` ids or a power of two. A null or empty text is ``end_id`` alone. Repeated rows are
+    ``window`` ids or a power of two. Documents alike in ``near_col`` (say, their language) go to the same shards of
+    a task, as neighbours are sought within a shard. A null or empty text is ``end_id`` alone. Repeated rows are
     packed each for itself; a null doc_id stays null. An empty table gives no pieces.
     """
-    texts = documents(docs, id_col, text_col).withColumn("rid", row_key())
-    dealt = texts.select("rid", "doc_id", F.col("text").cast("binary").alias("text")).repartition("rid").sortWithinPartitions("rid", "doc_id")
+    near = F.lit(None).cast("string") if near_col is None else docs[near_col].cast("string")
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), near.alias("near")).withColumn("rid", row_key())
+    dealt = own.select("near", "rid", "doc_id", F.col("text").cast("binary").alias("text")).repartition("rid").sortWithinPartitions("near", "rid", "doc_id")
     shards = materialize(dealt.select("doc_id", "text").mapInArrow(lean(_tokenize(tokenizer_json, end_id, window, shard_bytes), 1000), _SHARD), "shards")
     sizes = shards.agg(F.sum(F.size("n_ids")), F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda s, x: s + x))).first()
     n_docs, n_tokens = sizes[0] or 0, sizes[1] or 0

@@ -47,7 +47,7 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"), tokenizer_json(), with_ids=False)
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_json(), with_ids=False, near_col="lang")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

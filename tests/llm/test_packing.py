@@ -13,14 +13,15 @@ def json():
     return tokenizer_json()
 
 
-def test_pieces_rebuild_every_document(docs, corpus, json):
+@pytest.mark.parametrize("near", [None, "source"])
+def test_pieces_rebuild_every_document(docs, corpus, json, near):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(json)
     want = defaultdict(list)
     for doc_id, text, *_ in corpus:
         want[doc_id].append(tokenizer.encode(text or "", add_special_tokens=False).ids + [2])
-    pieces = packing.pack(docs, json, window=256, shard_bytes=20_000).collect()
+    pieces = packing.pack(docs, json, window=256, shard_bytes=20_000, near_col=near).collect()
     parts, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
         ids = np.frombuffer(p.ids, "<u4")
