@@ -49,6 +49,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.objects(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects over all tasks, for kernels that take whole objects."""
+    return texts(spark, sf_dir).repartition("object_id")
+
+
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.split_blocks(texts(spark, sf_dir), BLOCK)
 
@@ -287,7 +292,7 @@ def _entropy_both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 @query(f"SELECT doc_id, sha256(x) AS lit_sha256, sha256(x) AS other_sha256 FROM {D}")
 def entropy_roundtrip(spark, sf_dir):
-    done = texts(spark, sf_dir).mapInArrow(_entropy_both_ways, "object_id long, lit binary, other binary")
+    done = dealt(spark, sf_dir).mapInArrow(_entropy_both_ways, "object_id long, lit binary, other binary")
     return named(done, F.sha2("lit", 256).alias("lit_sha256"), F.sha2("other", 256).alias("other_sha256"))
 
 
@@ -359,19 +364,19 @@ def _damaged(frame: DataFrame, at: int, every: int) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'BAD_DATA' ELSE 'OK' END AS status, (CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n END)::BIGINT AS orig_size FROM {D}")
 def bad_magic(spark, sf_dir):
-    return named(from_containers(_damaged(to_containers(texts(spark, sf_dir), "indexed", BLOCK), 1, 3)), "status", "orig_size")
+    return named(from_containers(_damaged(to_containers(dealt(spark, sf_dir), "indexed", BLOCK), 1, 3)), "status", "orig_size")
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND n > 0 THEN 'BAD_DATA' ELSE 'OK' END AS status, CASE WHEN doc_id % 4 <> 0 OR n = 0 THEN sha256(x) END AS sha256 FROM {D}")
 def bad_chunk(spark, sf_dir):
-    filled = to_containers(texts(spark, sf_dir), "chunked", BLOCK)
+    filled = to_containers(dealt(spark, sf_dir), "chunked", BLOCK)
     return named(from_containers(_damaged(filled, container.CHUNKED.size + 1, 4)), "status", sha())
 
 
 @query(f"SELECT doc_id, n::BIGINT AS orig_size FROM {D}")
 def decoded_size(spark, sf_dir):
     """Sizes from headers alone, without decoding."""
-    filled = to_containers(texts(spark, sf_dir), "interleaved", BLOCK)
+    filled = to_containers(dealt(spark, sf_dir), "interleaved", BLOCK)
     low, high = cols.u32(F.col("container"), 13), cols.u32(F.col("container"), 17)
     return named(filled, (low + high * (1 << 32)).alias("orig_size"))
 
@@ -399,7 +404,7 @@ def null_input(spark, sf_dir):
 
 def _container_query(layout: str):
     def run(spark, sf_dir):
-        done = from_containers(to_containers(texts(spark, sf_dir), layout, BLOCK))
+        done = from_containers(to_containers(dealt(spark, sf_dir), layout, BLOCK))
         return named(done, "layout", "status", F.col("orig_size").alias("n_bytes"), sha())
 
     return run
@@ -411,7 +416,7 @@ for _layout, _key in (("indexed", "container_v2_read"), ("chunked", "container_v
 
 
 def _written(spark, sf_dir, layout: str) -> DataFrame:
-    return named(to_containers(texts(spark, sf_dir), layout, BLOCK), F.octet_length("container").cast("long").alias("n_stored"), F.lower(F.hex(F.substring("container", 1, 8))).alias("magic"))
+    return named(to_containers(dealt(spark, sf_dir), layout, BLOCK), F.octet_length("container").cast("long").alias("n_stored"), F.lower(F.hex(F.substring("container", 1, 8))).alias("magic"))
 
 
 @query()
