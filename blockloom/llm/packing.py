@@ -26,7 +26,7 @@ SHARD_BYTES = 2_000_000
 WINDOW, END_ID = 4096, 2
 K1, B = 1.2, 0.75
 #: Words that a worker remembers the ids of.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 350_000
 _MARK = b"<|"
 #: Words that decide whether a tokenizer's model can be asked directly.
 _PROBES = ("the", "retrieval", "zzxqj", "a", "thanontioner", "été", "ciónñ", "größe")
@@ -303,7 +303,7 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = WINDOW, end_id: int
     near = F.lit(None).cast("string") if near_col is None else docs[near_col].cast("string")
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), near.alias("near")).withColumn("rid", row_key())
     dealt = own.select("near", "rid", "doc_id", F.col("text").cast("binary").alias("text")).repartition("rid").sortWithinPartitions("near", "rid", "doc_id")
-    shards = materialize(dealt.select("doc_id", "text").mapInArrow(lean(_tokenize(tokenizer_json, end_id, window, shard_bytes), 1000), _SHARD), "shards")
+    shards = materialize(dealt.select("doc_id", "text").mapInArrow(lean(_tokenize(tokenizer_json, end_id, window, shard_bytes), 1000, keep=True), _SHARD), "shards")
     sizes = shards.agg(F.sum(F.size("n_ids")), F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda s, x: s + x))).first()
     n_docs, n_tokens = sizes[0] or 0, sizes[1] or 0
     # at most one row for each token of the vocabulary
