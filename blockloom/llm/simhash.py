@@ -176,15 +176,19 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
     return prints.join(of_print, "fp").select("doc_id", "rid", "fp", hexed, "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns, one row of each component: its least doc_id (a null id only if all are).
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its own columns, one row of each ``root`` of ``groups`` (doc_id, rid, root): its least doc_id (a null id only if all are).
 
     Rows that share that id go by a hash of the row; of identical rows one stays.
     """
-    groups = simhash_groups(docs, words, distance, id_col, text_col)
     first = materialize(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("f"), F.count("*").alias("n")).select("f.doc_id", "f.rid"), "first")
     f = first.select(F.col("doc_id").alias("_first_id"), F.col("rid").alias("_first_rid"))
     key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
     kept = docs.join(f, (key == f["_first_rid"]) & docs[id_col].cast("long").eqNullSafe(f["_first_id"]), "left_semi")
     same = groups.groupBy("doc_id", "rid").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if same else kept
+
+
+def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with its own columns, one row of each component; see :func:`first_of_each`."""
+    return first_of_each(docs, simhash_groups(docs, words, distance, id_col, text_col), id_col, text_col)
