@@ -23,7 +23,7 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 PATTERN = "|".join(
     (
         rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:\.{_LABEL})+",
-        r"(?<=(?:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\x22\x27])[0-9a-fA-F]{16,}(?=[\x22\x27])",
+        r"(?<=(?i:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\x22\x27])[0-9a-fA-F]{16,}(?=[\x22\x27])",
         r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
         r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
         r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",

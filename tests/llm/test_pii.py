@@ -76,3 +76,12 @@ def test_the_permutations_undo_and_never_collide(spark):
 def test_corpus_edges(docs, none, corpus):
     assert pii.pseudonymize(none, KEY).count() == 0
     assert pii.pseudonymize(docs, KEY).count() == len(corpus)
+
+
+@pytest.mark.parametrize("word", ["TOKEN", "Secret", "PASSWORD", "Passwd", "API_KEY"])
+def test_secrets_of_any_case(spark, word):
+    value = "9233A8EC11ACDFB36BB72224148E6160F674"
+    frame = spark.createDataFrame([(1, f'{word} = "{value}" x')], "doc_id long, text string")
+    found = pii.pseudonymize(frame, KEY).first()
+    assert found.n_secret == found.n_pii == 1 and value not in found.text
+    assert re.fullmatch(word + r' = "[0-9a-f]{36}" x', found.text)
