@@ -6,7 +6,6 @@ ratios, containers written) have no SQL.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +18,7 @@ from blockloom.functions import container, entropy, tokens
 from blockloom.functions.api import compress_column, decompress_column
 from blockloom.operators import blocks as B
 from blockloom.operators import codec
+from blockloom.operators.shared import shared_dir
 from blockloom.sources.container import from_containers, to_containers
 from blockloom.streaming.stream import decode_stream, encode_stream, write_stream
 
@@ -463,8 +463,7 @@ def stream_totals(spark, sf_dir):
 def stream_encode(spark, sf_dir):
     """Documents as a stream of files, encoded and decoded in micro-batches, written once."""
     source = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockloom-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet*")
     rows = decode_stream(encode_stream(B.objects(arriving, "doc_id", "text"), BLOCK))
     write_stream(named(rows, "block_id", "status", "raw_size", sha()), f"{base}/rows", f"{base}/state").awaitTermination()
