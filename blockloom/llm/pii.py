@@ -19,10 +19,12 @@ ROUNDS = 8
 KINDS = ("email", "phone", "ip", "card", "ssn", "iban", "date", "secret")
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+#: A group that repeats without a bound is possessive: the engine then takes it in a loop, else by recursion, whose
+#: stack a long text would overflow. What follows a label can't begin another, so nothing is lost.
 #: What may be personal: mail, secret, phone, IPv4, date, social security number, IBAN, card.
 PATTERN = "|".join(
     (
-        rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:\.{_LABEL})+",
+        rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_LABEL}(?:\.{_LABEL})++",
         r"(?<=(?i:token|secret|password|passwd|key)\s{0,2}[=:]\s{0,2}[\x22\x27])[0-9a-fA-F]{16,}(?=[\x22\x27])",
         r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
         r"(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
@@ -94,15 +96,19 @@ def _domain() -> dict[str, tuple[str, str, str, str]]:
     }
 
 
-def _round(key: str, value: str) -> str:
-    return f"cast(conv(substr(sha2(concat('{key}:', h.kind, ':', i, ':', {value}), 256), 1, 12), 16, 10) AS bigint)"
+def _round(value: str) -> str:
+    return f"cast(conv(substr(sha2(concat({_KEY}, ':', h.kind, ':', i, ':', {value}), 256), 1, 12), 16, 10) AS bigint)"
 
 
-def _permuted(key: str, back: bool) -> str:
+#: The column that holds the key.
+_KEY = "_key"
+
+
+def _permuted(back: bool) -> str:
     """(l, r) after the Feistel rounds, or before them."""
     sign = "-" if back else "+"
-    left = f"named_struct('l', pmod(s.l {sign} {_round(key, 's.r')}, h.a), 'r', s.r)"
-    right = f"named_struct('l', s.l, 'r', pmod(s.r {sign} {_round(key, 's.l')}, h.b))"
+    left = f"named_struct('l', pmod(s.l {sign} {_round('s.r')}, h.a), 'r', s.r)"
+    right = f"named_struct('l', s.l, 'r', pmod(s.r {sign} {_round('s.l')}, h.b))"
     steps = f"sequence({ROUNDS - 1}, 0)" if back else f"sequence(0, {ROUNDS - 1})"
     return f"aggregate({steps}, named_struct('l', h.l, 'r', h.r), (s, i) -> if(i % 2 = 0, {left}, {right}))"
 
@@ -111,7 +117,7 @@ def _pad(value: str, n: str) -> str:
     return f"lpad(cast({value} AS string), cast({n} AS int), '0')"
 
 
-def _written(key: str) -> str:
+def _written() -> str:
     """The pseudonym of ``h`` in the format of ``h.m``."""
     n = "length(h.p)"
     digits = f"concat(if({n} div 2 = 0, '', {_pad('h.s.l', f'{n} div 2')}), {_pad('h.s.r', f'{n} - {n} div 2')})"
@@ -129,21 +135,26 @@ def _written(key: str) -> str:
     area = "h.s.l + 1 + if(h.s.l >= 665, 1, 0)"
     ssn = f"concat({_pad(area, '3')}, '-', {_pad('h.s.r div 9999 + 1', '2')}, '-', {_pad('h.s.r % 9999 + 1', '4')})"
     date = "translate(date_format(date_add(date '1900-01-01', cast(h.s.l * 4297 + h.s.r AS int)), 'yyyy-MM-dd'), '-', substr(h.m, 5, 1))"
-    email = f"concat('u', substr(sha2(concat('{key}:email:', split_part(h.m, '@', 1)), 256), 1, 10), '@', split_part(h.m, '@', 2))"
-    secret = f"substr(repeat(sha2(concat('{key}:secret:', h.m), 256), cast(ceil(length(h.m) / 64) AS int)), 1, length(h.m))"
+    # 80 bits of the whole address, so that people of one domain stay apart; the domain itself stays
+    hashed = f"sha2(concat({_KEY}, ':email:', h.m), 256)"
+    email = f"concat('p', substr({hashed}, 1, 10), 'u', substr({hashed}, 11, 10), '@', split_part(h.m, '@', 2))"
+    secret = f"substr(repeat(sha2(concat({_KEY}, ':secret:', h.m), 256), cast(ceil(length(h.m) / 64) AS int)), 1, length(h.m))"
     return f"CASE h.kind WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {ssn} WHEN 'date' THEN {date} WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} ELSE h.m END"
 
 
 def pseudonymize(docs: DataFrame, key: str, back: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (pseudonymised), n_pii and n_<kind> for each of :data:`KINDS`; one row for each row of ``docs``.
 
-    ``key`` decides the pseudonyms; only a hash of it enters the plan. ``back`` undoes the
-    permutations (numbers and dates; mail addresses and secrets are hashed and stay as they are).
-    A null text stays null with no finds; candidates that fail validation stay untouched; repeated
-    rows repeat their result; an empty table gives an empty result; other columns are ignored.
+    ``key`` decides the pseudonyms. It enters the plan as a scalar subquery over a one-row table, so neither plans nor
+    event logs show it or its hash. ``back`` undoes the permutations (numbers and dates; mail addresses and secrets are
+    hashed and stay as they are). The domain of a mail address stays in clear.
+    A null text stays null with no finds; an empty one stays empty; a text of any length is taken as a whole, at a cost
+    linear in it; candidates that fail validation stay untouched; repeated rows repeat their result; an empty table
+    gives an empty result; other columns are ignored.
     """
     hashed = hashlib.sha256(key.encode()).hexdigest()
-    found = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(None).cast("array<string>").alias("m"))
+    secret = docs.sparkSession.createDataFrame([(hashed,)], f"{_KEY} string")
+    found = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.lit(None).cast("array<string>").alias("m")).withColumn(_KEY, secret.scalar())
     hinted = F.col("text").rlike(HINT)
     found = found.withColumn("m", F.when(hinted, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     found = found.withColumn("m", F.when(F.size("m") > 0, F.col("m")))
@@ -157,11 +168,12 @@ def pseudonymize(docs: DataFrame, key: str, back: bool = False, id_col: str = "d
     choose = lambda at, other: "CASE h.kind " + " ".join(f"WHEN '{k}' THEN {v[at]}" for k, v in domain.items()) + f" ELSE {other} END"
     found = found.withColumn("h", F.expr(f"transform(h, h -> named_struct('m', h.m, 'kind', h.kind, 'p', h.p, 'a', {choose(0, '1L')}, 'b', {choose(1, '1L')}, 'l', {choose(2, '0L')}, 'r', {choose(3, '0L')}))"))
     numbered = "h.kind IN (" + ", ".join(f"'{k}'" for k in domain) + ")"
-    found = found.withColumn("h", F.expr(f"transform(h, h -> named_struct('m', h.m, 'kind', h.kind, 'p', h.p, 'a', h.a, 's', if({numbered}, {_permuted(hashed, back)}, named_struct('l', 0L, 'r', 0L))))"))
-    written = f"if(h.kind IN ('email', 'secret'), h.m, {_written(hashed)})" if back else _written(hashed)
+    found = found.withColumn("h", F.expr(f"transform(h, h -> named_struct('m', h.m, 'kind', h.kind, 'p', h.p, 'a', h.a, 's', if({numbered}, {_permuted(back)}, named_struct('l', 0L, 'r', 0L))))"))
+    written = f"if(h.kind IN ('email', 'secret'), h.m, {_written()})" if back else _written()
     found = found.withColumn("new", F.expr(f"transform(h, h -> coalesce({written}, h.m))"))
     found = found.withColumn("gaps", F.when(F.col("m").isNotNull(), F.split("text", PATTERN, -1)))
-    joined = F.expr("array_join(transform(gaps, (g, i) -> concat(g, coalesce(get(new, i), ''))), '')")
+    # arrays stand outside the lambda, where an inlined one would be made anew for each element
+    joined = F.expr("array_join(zip_with(gaps, new, (g, x) -> concat(g, coalesce(x, ''))), '')")
     kinds = F.coalesce(F.expr("filter(transform(h, h -> h.kind), k -> k IS NOT NULL)"), F.array().cast("array<string>"))
     counts = [F.size(F.filter("kinds", _same(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     done = found.select("doc_id", F.coalesce(joined, F.col("text")).alias("text"), kinds.alias("kinds"))

@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 
 import pytest
@@ -85,3 +87,92 @@ def test_secrets_of_any_case(spark, word):
     found = pii.pseudonymize(frame, KEY).first()
     assert found.n_secret == found.n_pii == 1 and value not in found.text
     assert re.fullmatch(word + r' = "[0-9a-f]{36}" x', found.text)
+
+
+LONG = {
+    "dotted labels": "x a@" + "b." * 500_000 + "c y",
+    "hyphens": "a@" + "b-" * 300_000 + " y",
+    "one label": "a@" + "b" * 1_000_000 + " y",
+    "at signs": "a@b.c" * 100_000,
+    "bare at signs": "@" * 1_000_000,
+    "digits": "1" * 1_000_000,
+    "dots": "." * 1_000_000,
+    "numbered dots": "1." * 400_000,
+    "octets": "1.2.3.4 " * 20_000,
+    "capitals": "AB12" * 200_000,
+    "quotes": 'key="' * 150_000 + "a" * 300_000,
+    "white space": "key" + " " * 1_000_000 + "=",
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_texts(spark, kind):
+    frame = spark.createDataFrame([(1, LONG[kind])], "doc_id long, text string")
+    found = pii.pseudonymize(frame, KEY).first()
+    if kind == "dotted labels":
+        assert found.n_email == 1 and re.fullmatch(r"x p[0-9a-f]{10}u[0-9a-f]{10}@" + re.escape("b." * 500_000) + "c y", found.text)
+    if kind == "octets":
+        assert found.n_ip == 20_000
+    if kind in ("digits", "dots", "one label", "bare at signs", "white space"):
+        assert found.n_pii == 0 and found.text == LONG[kind]
+
+
+def feistel(kind, a, b, left, right):
+    """The rounds, written again: ten digits of a keyed hash are added to one half, modulo its size."""
+    key = hashlib.sha256(KEY.encode()).hexdigest()
+    for i in range(8):
+        if i % 2 == 0:
+            left = (left + int(hashlib.sha256(f"{key}:{kind}:{i}:{right}".encode()).hexdigest()[:12], 16)) % a
+        else:
+            right = (right + int(hashlib.sha256(f"{key}:{kind}:{i}:{left}".encode()).hexdigest()[:12], 16)) % b
+    return left, right
+
+
+def with_check_digit(d):
+    return next(d + str(c) for c in range(10) if luhn(d + str(c)))
+
+
+def test_pseudonyms_equal_an_independent_feistel(spark):
+    rnd = random.Random(3)
+    day = datetime.date(1900, 1, 1)
+    want, rows = {}, []
+    for i in range(300):
+        card = with_check_digit("".join(rnd.choice("0123456789") for _ in range(15)))
+        l, r = feistel("card", 10**7, 10**8, int(card[:7]), int(card[7:15]))
+        new_card = with_check_digit(f"{l:07d}{r:08d}")
+        o = [rnd.randrange(256) for _ in range(4)]
+        l, r = feistel("ip", 65536, 65536, o[0] * 256 + o[1], o[2] * 256 + o[3])
+        new_ip = f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+        n = rnd.randrange(17 * 4297)
+        l, r = feistel("date", 17, 4297, n // 4297, n % 4297)
+        new_day = day + datetime.timedelta(days=l * 4297 + r)
+        area = rnd.choice([x for x in range(1, 900) if x != 666])
+        group, serial = rnd.randrange(1, 100), rnd.randrange(1, 10_000)
+        l, r = feistel("ssn", 898, 989901, area - 1 - (area > 666), (group - 1) * 9999 + serial - 1)
+        new_area = l + 1 + (l >= 665)
+        new_ssn = f"{new_area:03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+        p = [rnd.randrange(200, 1000), rnd.randrange(200, 1000), rnd.randrange(10_000)]
+        l, r = feistel("phone", 640_000, 10_000, (p[0] - 200) * 800 + p[1] - 200, p[2])
+        new_phone = f"+1 ({l // 800 + 200}) {l % 800 + 200}-{r:04d}"
+        bban = f"{rnd.randrange(10**18):018d}"
+        check = 98 - mod97("DE00" + bban)
+        l, r = feistel("iban", 10**9, 10**9, int(bban[:9]), int(bban[9:]))
+        new_iban = f"DE{98 - mod97(f'DE00{l:09d}{r:09d}'):02d}{l:09d}{r:09d}"
+        rows.append((i, f"{card} | {o[0]}.{o[1]}.{o[2]}.{o[3]} | {day + datetime.timedelta(days=n)} | {area:03d}-{group:02d}-{serial:04d} | +1 ({p[0]}) {p[1]}-{p[2]:04d} | DE{check:02d}{bban}"))
+        want[i] = f"{new_card} | {new_ip} | {new_day} | {new_ssn} | {new_phone} | {new_iban}"
+    got = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert got == want
+
+
+def test_the_key_is_in_no_plan(spark):
+    frame = spark.createDataFrame([(1, "1.2.3.4")], "doc_id long, text string")
+    found = pii.pseudonymize(frame, KEY)
+    assert found.first().n_ip == 1
+    plans = found._jdf.queryExecution().toString()
+    assert KEY not in plans and hashlib.sha256(KEY.encode()).hexdigest() not in plans
+
+
+def test_addresses_of_one_domain_stay_apart(spark):
+    rows = [(i, f"user{i}@one.example.com user{i}@two.example.com") for i in range(500)]
+    found = [w for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect() for w in r.text.split()]
+    assert len({w.split("@")[0] for w in found}) == 1000
