@@ -2,15 +2,15 @@
 
 Each language has a model of character trigrams (UTF-8 bytes, hashed to a fixed table). A document is a
 mixture: each word comes from one of its languages, with the word's trigram likelihood. Expectation
-maximisation estimates the proportions; the language set is the one of greatest penalised
-likelihood (each language beyond the first costs ``penalty`` times the logarithm of the number of words). Documents are
-solved many at a time, as segments of one array.
+maximisation estimates the proportions; the language set is grown by the language of the next greatest share as long as
+that raises the penalised likelihood (each language beyond the first costs ``penalty`` times the logarithm of the number of
+words). Documents are solved many at a time, as segments of one array; how many follows from the number of languages, and a
+document too long for that is read anew in each round, so memory is bounded for any text and number of languages.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +22,41 @@ from blockloom.llm.common import broadcast_if_small, lean
 BUCKETS = 1 << 16
 #: At most so many labelled documents (in expectation), dealt evenly over the languages, fit the models.
 TRAIN_ROWS = 20_000
-#: At most so many languages, the most frequent, are learned: the models take 256 KiB each.
-MOST_LANGUAGES = 128
 SMOOTHING = 0.1
-LETTER = re.compile(r"[^\W\d_]")
-#: Bytes of text that are solved together.
-CHUNK = 2_000_000
+#: Bytes of text, times languages, that are solved together.
+CHUNK = 8_000_000
+#: A document of so many times as many bytes is read anew in each round.
+HELD = 4
+#: Languages whose models are looked up at a time.
+LANGUAGES_AT_ONCE = 16
 UNKNOWN = "und"
 
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (of the Unicode categories L; numbers such as one half are none)."""
+    return text is not None and any(map(str.isalpha, text))
+
+
+class _Kept(dict):
+    """Code point to itself for letters and the marks that belong to them, else to a space."""
+
+    def __missing__(self, point: int) -> int:
+        import unicodedata
+
+        self[point] = point if unicodedata.category(chr(point))[0] in "LM" else 0x20
+        return self[point]
+
+
+_KEPT = _Kept()
+
+
 def letters(text: str) -> bytes:
-    """Lower-cased bytes with a space for each byte that can't be a letter's, and spaces at both ends."""
-    return b" " + text.lower().encode().translate(_TABLE) + b" "
+    """Lower-cased UTF-8 with a space for each character that is no letter, and spaces at both ends."""
+    low = text.lower()
+    data = low.encode().translate(_TABLE) if low.isascii() else low.translate(_KEPT).encode()
+    return b" " + data + b" "
 
 
 def grams(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,26 +81,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(total[some])], names=["lang", "bucket", "n"])
 
 
-def unit(doc_id: Column) -> Column:
-    """A number in [0, 1) that only doc_id decides."""
-    return (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit("lang")), 11) / F.lit(float(1 << 53))).cast("double")
+def unit(key: Column) -> Column:
+    """A number in [0, 1) of a 64-bit hash."""
+    return (F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))).cast("double")
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(doc_id, text, lang), all non-null, to the languages and their log-probabilities (BUCKETS x languages).
 
-    The sample takes each language's documents at a rate that gives it an equal part of
-    ``train_rows``, so its size doesn't grow with the table; the driver receives one
-    row a language, of bounded size.
+    Every label is learned; a model takes 256 KiB on the driver and in each worker. The sample takes each language's
+    documents at a rate that gives it an equal part of ``train_rows`` in expectation, so its size doesn't grow with the
+    table; repeated rows count once. The driver receives one row a language, of bounded size.
     """
-    totals = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)
-    totals = [(r.lang, r.n) for r in totals.collect()]
-    if not totals:
+    totals = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = totals.count()
+    if not n_langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    each = train_rows / len(totals)
-    rates = labelled.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in totals], "r_lang string, rate double")
-    rates = broadcast_if_small(rates)
-    sample = labelled.join(rates, labelled["lang"] == rates["r_lang"]).filter(unit(F.col("doc_id")) < F.col("rate")).select("doc_id", "lang", "text").repartition(8, "doc_id")
+    rates = broadcast_if_small(totals.select(F.col("lang").alias("r_lang"), F.least(F.lit(1.0), F.lit(train_rows / n_langs) / F.col("n")).alias("rate")))
+    keyed = labelled.withColumn("key", F.xxhash64("doc_id", "text", F.lit("lang")))
+    # texts are not joined with the rates: what is drawn is a bounded sample of keys
+    drawn = keyed.select("key", "lang").join(rates, keyed["lang"] == rates["r_lang"]).filter(unit(F.col("key")) < F.col("rate")).select("key").distinct()
+    sample = keyed.join(F.broadcast(drawn), "key", "left_semi").groupBy("key", "lang").agg(F.first("text").alias("text")).repartition(8, "key")
     counted = sample.select("lang", "text").mapInArrow(lean(_counts, 1000), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # one row a language, of at most BUCKETS pairs
     sums: dict[str, np.ndarray] = {}
@@ -109,49 +131,119 @@ def _em(words: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndar
     return share, np.add.reduceat(np.log(total, dtype=np.float64), starts)
 
 
-def solve(data: bytes, starts_at: np.ndarray, table: np.ndarray, penalty: float = 2.0, rounds: int = 8, most: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scores(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each word (word x language), a few languages at a time, and where the words start."""
+    rows, word, place = grams(data)
+    if not len(word):
+        return np.zeros((0, table.shape[1]), np.float32), place
+    if table.shape[1] <= LANGUAGES_AT_ONCE:
+        return np.add.reduceat(table[rows], word, axis=0), place
+    parts = [np.add.reduceat(table[:, a : a + LANGUAGES_AT_ONCE][rows], word, axis=0) for a in range(0, table.shape[1], LANGUAGES_AT_ONCE)]
+    return np.concatenate(parts, axis=1), place
+
+
+def _pieces(data: bytes, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most about ``most`` bytes that begin and end at a space; a longer word makes a longer range."""
+    at = 0
+    while at < len(data) - 2:
+        end = len(data) if at + most >= len(data) else data.rfind(b" ", at, at + most)
+        if end <= at:
+            end = data.find(b" ", at + most)
+            end = len(data) if end < 0 else end
+        yield at, min(end + 1, len(data))
+        at = end
+
+
+def _long(data: bytes, table: np.ndarray, penalty: float, rounds: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`solve` for one document of any length: each round reads it anew, a piece at a time."""
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in _pieces(data, most):
+            score, _ = _scores(data[a:b], table)
+            if len(score):
+                top = score.max(axis=1, keepdims=True)
+                yield np.exp(np.maximum(score - top, -60)), (score - top).astype(np.float64).sum(axis=0)
+
+    def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        share = allowed / allowed.sum(axis=1, keepdims=True)
+        for last in [False] * rounds + [True]:
+            total, n, likely = np.zeros(table.shape[1]), 0, 0.0
+            for words, _ in blocks():
+                joint = words * share[0].astype(words.dtype)
+                mass = np.maximum(joint.sum(axis=1, keepdims=True), 1e-30)
+                total, n, likely = total + (joint / mass).sum(axis=0, dtype=np.float64), n + len(words), likely + np.log(mass, dtype=np.float64).sum()
+            share = share if last or not n else (total / n)[None, :]
+        return share, np.array([likely])
+
+    one, n_words = np.zeros(table.shape[1]), 0
+    for words, sums in blocks():
+        one, n_words = one + sums, n_words + len(words)
+    if not n_words:
+        none = np.zeros((1, table.shape[1]))
+        return none, none.astype(bool), none
+    return _grow(one[None, :], np.array([n_words]), lambda allowed, _: em(allowed), penalty)
+
+
+def _grow(one: np.ndarray, sizes: np.ndarray, em: Callable, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions, language sets, and proportions when all languages are allowed.
+
+    one: likelihood of each document in each language alone; sizes: words of each; em: solves the given documents with the
+    languages allowed to each. A set grows by the language of the next greatest share until that doesn't pay.
+    """
+    n_docs, n_langs = one.shape
+    everyone = np.arange(n_docs)
+    full, _ = em(np.ones((n_docs, n_langs), np.float32), everyone)
+    order = np.argsort(-full, axis=1, kind="stable")
+    cost = penalty * np.log(sizes + 1.0)
+    best_set = np.arange(n_langs)[None, :] == np.argmax(one, axis=1)[:, None]
+    best, best_share = one.max(axis=1), best_set.astype(float)
+    growing, m = everyone, 2
+    while len(growing) and m <= n_langs:
+        allowed = np.zeros((len(growing), n_langs), np.float32)
+        np.put_along_axis(allowed, order[growing, :m], 1, axis=1)
+        part, likely = em(allowed, growing)
+        gain = likely - cost[growing] * (m - 1)
+        better = gain > best[growing]
+        growing, part, allowed = growing[better], part[better], allowed[better]
+        best[growing] = gain[better]
+        best_set[growing], best_share[growing] = allowed > 0, part
+        m += 1
+    return best_share, best_set, full
+
+
+def solve(data: bytes, starts_at: np.ndarray, table: np.ndarray, penalty: float = 2.0, rounds: int = 8, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents laid end to end in ``data``, all document x language: proportions, whether chosen,
     and the proportions when all languages are allowed.
 
-    Documents without a word have no proportions (all zero).
+    Documents without a word have no proportions (all zero). ``most`` is how many bytes are scored at a time.
     """
     n_docs, n_langs = len(starts_at), table.shape[1]
     share, chosen, sure = np.zeros((n_docs, n_langs)), np.zeros((n_docs, n_langs), bool), np.zeros((n_docs, n_langs))
-    scores, places = [], []
-    at = 0
-    while at < len(data) - 2:  # a long document is scored a piece at a time, cut between words
-        end = len(data) if at + CHUNK >= len(data) else data.rfind(b" ", at, at + CHUNK)
-        end = end if end > at else (data.find(b" ", at + CHUNK) if data.find(b" ", at + CHUNK) > 0 else len(data))
-        rows, word, place = grams(data[at : min(end + 1, len(data))])
-        if len(word):
-            scores.append(np.add.reduceat(table[rows], word, axis=0))
-            places.append(place + at)
-        at = end
-    if not scores or not n_langs:
+    if not n_langs:
+        return share, chosen, sure
+    most = most or CHUNK // n_langs
+    if n_docs == 1 and len(data) > HELD * most:
+        return _long(data, table, penalty, rounds, most)
+    parts = [(a, *_scores(data[a:b], table)) for a, b in _pieces(data, most)]
+    score, place = np.concatenate([x for _, x, _ in parts] or [np.zeros((0, n_langs))]), np.concatenate([a + x for a, _, x in parts] or [np.zeros(0, np.int64)])
+    if not len(score):
         return share, chosen, sure
-    score, place = np.concatenate(scores), np.concatenate(places)
     owner = np.searchsorted(starts_at, place, side="right") - 1
     some, starts = np.unique(owner, return_index=True)
-    doc = np.repeat(np.arange(len(some)), np.diff(np.append(starts, len(owner))))
+    sizes = np.diff(np.append(starts, len(owner)))
+    doc = np.repeat(np.arange(len(some)), sizes)
     top = score.max(axis=1, keepdims=True)
     words = np.exp(np.maximum(score - top, -60))
-    cost = penalty * np.log(np.diff(np.append(starts, len(words))) + 1.0)
-    full, _ = _em(words, doc, starts, np.ones((len(some), n_langs), words.dtype), rounds)
-    order = np.argsort(-full, axis=1, kind="stable")
-    # one language: no mixture to estimate
     one = np.add.reduceat((score - top).astype(np.float64), starts, axis=0)
-    best_set = np.arange(n_langs)[None, :] == np.argmax(one, axis=1)[:, None]
-    best, best_share = one.max(axis=1), best_set.astype(float)
-    for m in range(2, min(most, n_langs) + 1):  # the m languages of the greatest shares
-        allowed = np.zeros((len(some), n_langs), words.dtype)
-        np.put_along_axis(allowed, order[:, :m], 1, axis=1)
-        part, likely = _em(words, doc, starts, allowed, rounds)
-        gain = likely - cost * (m - 1)
-        better = gain > best
-        best = np.where(better, gain, best)
-        best_set[better] = allowed[better] > 0
-        best_share[better] = part[better]
-    share[some], chosen[some], sure[some] = best_share, best_set, full
+
+    def em(allowed: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(of) == len(some):
+            return _em(words, doc, starts, allowed, rounds)
+        rows = np.isin(doc, of)
+        counts = sizes[of]
+        return _em(words[rows], np.repeat(np.arange(len(of)), counts), np.cumsum(counts) - counts, allowed, rounds)
+
+    share[some], chosen[some], sure[some] = _grow(one, sizes, em, penalty)
     return share, chosen, sure
 
 
@@ -165,7 +257,7 @@ def _predict(langs: list[str], table: np.ndarray, penalty: float):
         share, chosen, sure = solve(b"".join(data), np.array(offsets), table, penalty)
         pred, score, mixes = [], [], []
         for i, text in enumerate(texts):
-            if text is None or not LETTER.search(text) or not chosen[i].any():
+            if not has_letter(text) or not chosen[i].any():
                 pred.append(UNKNOWN)
                 score.append(0.0)
                 mixes.append([])
@@ -177,15 +269,20 @@ def _predict(langs: list[str], table: np.ndarray, penalty: float):
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, kind)], names=["doc_id", "lang_pred", "score", "languages"])
 
+    most = CHUNK // max(1, len(langs))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             first, size = 0, 0
             for i, text in enumerate(texts):
-                size += len(text or "")
-                if size >= CHUNK or i == len(texts) - 1:
-                    yield flush(ids[first : i + 1], texts[first : i + 1])
-                    first, size = i + 1, 0
+                more = 4 * len(text or "") if text and not text.isascii() else len(text or "")
+                if size and size + more > most:
+                    yield flush(ids[first:i], texts[first:i])
+                    first, size = i, 0
+                size += more + 2
+            if first < len(texts):
+                yield flush(ids[first:], texts[first:])
 
     return run
 
