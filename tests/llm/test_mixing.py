@@ -43,3 +43,33 @@ def test_water_filling(spark, sizes):
 
     want = water(sizes)
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_columns_of_any_name_come_through(spark):
+    names = ["doc_id", "text", "source", "_copies", "_copy", "_id", "_size", "_target", "_source", "_source_size", "_key", "_salt", "_salts", "c0"]
+    rows = [(i, f"a b {i}", f"s{i % 3}", *range(i, i + len(names) - 3)) for i in range(200)]
+    frame = spark.createDataFrame(rows, names)
+    found = mixing.emit_mix(frame)
+    assert found.columns == names and found.schema == frame.schema
+    got = Counter(tuple(r) for r in found.collect())
+    assert set(got) <= set(rows) and len(got) > 100
+    assert {r.doc_id: r.copies for r in mixing.mix(frame).collect() if r.copies} == {k[0]: n for k, n in got.items()}
+    assert mixing.emit_mix(frame.filter("doc_id < 0")).count() == 0
+
+
+def test_more_sources_than_a_broadcast_takes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "broadcast_if_small", lambda table: table)
+    rows = spark.range(0, 6000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 9 as int))").alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("s"), F.col("id"))).alias("source"))
+    found = {r.doc_id: tuple(r) for r in mixing.mix(rows).collect()}
+    monkeypatch.undo()
+    assert found == {r.doc_id: tuple(r) for r in mixing.mix(rows).collect()} and len(found) == 6000
+
+
+def test_many_sources_get_their_weights_in_order(spark):
+    from test_pipeline import water
+
+    sizes = {f"s{i * 7919 % 5000:05d}": i * 31 % 997 for i in range(3000)} | {None: 50, "é": 3, "\U0001f600": 4, "": 9}
+    frame = spark.createDataFrame([*sizes.items()], "source string, source_size long").repartition(9)
+    got = {r.source: r.target for r in mixing.source_targets(frame).collect()}
+    want = water(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
