@@ -109,3 +109,27 @@ def test_license_scan_equals_sql(docs, corpus, none):
     assert rows[2010].labels == "apache,apache-2.0" and rows[2012].labels == "gpl,gpl-3"
     assert (rows[2011].n_base, rows[2011].first_word, rows[2011].last_word, rows[2011].labels) == (2, 1, 7, "mit")
     assert license_scan(none).count() == 0 and license_scan(docs).count() == len(corpus)
+
+
+def test_a_row_in_a_third_of_the_table_is_one_document(spark, monkeypatch):
+    from blockloom.llm import common, line_dedup as module
+
+    monkeypatch.setattr(module, "HELD", 40)
+    monkeypatch.setattr(common, "HOT_LEAST", 100)
+    text = "\n".join(["often"] * 30 + ["once"] + [f"few {i}" for i in range(40)])
+    rows = [(7, text)] * 900 + [(None, f"often\nnull {i}\nnameless") for i in range(12)] + [(i, f"often\nown {i}") for i in range(100, 700)]
+    rows += [(50, f"one id\nversion {i}") for i in range(400)] + [(60 + i % 9, f"nine ids\nversion {i}") for i in range(300)] + [(80 + i % 11, f"eleven ids\nversion {i}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    who = defaultdict(set)
+    for i, t in rows:
+        for line in t.split("\n"):
+            who[line].add(i if i is not None else t)
+    want = Counter((i, len(t.split("\n")), sum(len(who[x]) >= 10 for x in t.split("\n"))) for i, t in rows)
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped) for r in apply_bitmaps(frame, line_dedup(frame)).collect())
+    assert got == want and len(who["one id"]) == 1 and len(who["nine ids"]) == 9 and len(who["nameless"]) == 12
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    rows = [(1, f"shared\nversion {i}") for i in range(30)] + [(2, "shared")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in apply_bitmaps(frame, line_dedup(frame)).collect()} == {0}
