@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import materialize
+from blockloom.llm.common import HOT_LEAST, HOT_PARTS, drop, hot_keys, join_split, materialize
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """The least neighbour of each node, itself included. Partial aggregates carry hot nodes."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): each edge with the least neighbour of u, u included.
+
+    Partial aggregates carry hot nodes; the edges of a node that has a large part of all are dealt over salts.
+    """
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    top, total = least.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = hot_keys(least.select("u", "n"), ["u"], total) if top > max(HOT_LEAST, total // HOT_PARTS) else None
+    return join_split(edges, least.select("u", "m"), ["u"], hot)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
+    linked = _with_least(down).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    own = down.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("v"))
+    return linked.union(own).filter(F.col("u") != F.col("v")).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -35,7 +42,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u != v").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        stars = materialize(_small_star(_large_star(now)), "edges")
+        large = materialize(_large_star(now), "edges")
+        stars = materialize(_small_star(large), "edges")
+        drop(large, now)
         mark = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now = stars
         if mark == seen:

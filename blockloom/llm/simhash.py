@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import documents, lean, materialize, row_key
+from blockloom.llm.common import documents, hot_keys, join_split, lean, materialize, row_key
 from blockloom.llm.graph import connected_components
 
 SEED = 42
@@ -167,28 +167,45 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: s
     blocks are dealt, so groups of copies cost one row. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs, words, id_col, text_col), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = connected_components(near_pairs(distinct.select("fp"), distance))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = rooted.join(named, "root").select("fp", "root", "component_id")
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    # of a component of many fingerprints, and of a fingerprint of many documents, no task takes all
+    of_print = join_split(rooted, named.drop("n"), ["root"], hot_keys(named, ["root"], distinct.count())).select("fp", "root", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(of_print, "fp").select("doc_id", "rid", "fp", hexed, "root", "component_id")
+    both = join_split(prints, of_print, ["fp"], hot_keys(distinct, ["fp"], prints.count()))
+    return both.select("doc_id", "rid", "fp", hexed, "root", "component_id")
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its own columns, one row of each ``root`` of ``groups`` (doc_id, rid, root): its least doc_id (a null id only if all are).
 
-    Rows that share that id go by a hash of the row; of identical rows one stays.
+    Rows that share that id go by a hash of the row; of rows with equal id and text, the one whose columns hash
+    least stays. ``groups`` has to be a written table, as it is read more than once. Rows that go are no part of any
+    shuffle but that of the join.
     """
-    first = materialize(groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("f"), F.count("*").alias("n")).select("f.doc_id", "f.rid"), "first")
-    f = first.select(F.col("doc_id").alias("_first_id"), F.col("rid").alias("_first_rid"))
-    key = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    kept = docs.join(f, (key == f["_first_rid"]) & docs[id_col].cast("long").eqNullSafe(f["_first_id"]), "left_semi")
-    same = groups.groupBy("doc_id", "rid").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if same else kept
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("f")).select("f.doc_id", "f.rid")
+    repeated = groups.groupBy("doc_id", "rid").agg(F.count("*").alias("n")).filter("n > 1")
+    none = F.col("doc_id").isNull()
+    both = first.alias("a").join(repeated.alias("b"), (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
+    chosen = materialize(both.select("a.doc_id", "a.rid", F.coalesce("n", F.lit(1)).alias("n")).select("rid", F.when(none, F.lit(0)).otherwise(F.xxhash64("doc_id")).alias("same"), "n"), "first")
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    doc_id, text = F.col(own[id_col]).cast("long"), F.col(own[text_col]).cast("string")
+    keyed = docs.toDF(*own.values()).withColumns({"rid": F.xxhash64(doc_id, text), "same": F.when(doc_id.isNull(), F.lit(0)).otherwise(F.xxhash64(doc_id))})
+    hot = hot_keys(chosen.select("rid", "n"), ["rid"], groups.count())
+    kept = join_split(keyed, chosen, ["rid", "same"], hot)
+    back = [F.col(f"{o}").alias(c) for c, o in own.items()]
+    single = kept.filter("n = 1").select(back)
+    if not chosen.filter("n > 1").limit(1).count():
+        return single
+    row = F.struct(*own.values())
+    # partial aggregates leave one row a task
+    several = kept.filter("n > 1").groupBy("rid", "same").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row"))
+    return single.unionByName(several.select("row.*").select(back))
 
 
 def one_of_each(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its own columns, one row of each component; see :func:`first_of_each`."""
-    return first_of_each(docs, simhash_groups(docs, words, distance, id_col, text_col), id_col, text_col)
+    groups = materialize(simhash_groups(docs, words, distance, id_col, text_col).select("doc_id", "rid", "root"), "groups")
+    return first_of_each(docs, groups, id_col, text_col)

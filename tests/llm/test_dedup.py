@@ -133,3 +133,27 @@ def test_texts_of_one_id_are_one_document(spark):
     rows = [(1, f"shared\nversion {i}") for i in range(30)] + [(2, "shared")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.n_dropped for r in apply_bitmaps(frame, line_dedup(frame)).collect()} == {0}
+
+
+def test_one_row_of_rows_with_equal_id_and_text(spark):
+    """Whichever stays, it is one of them, whole; reruns agree."""
+    rows = [(1, "same text here now ok", "a", 5), (1, "same text here now ok", "b", 6), (1, "same text here now ok", None, 7), (2, "another one of five words", "c", 8), (2, "another one of five words", "c", 8), (3, "a third text of five words", "d", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, same string, rid int")
+    kept = simhash.one_of_each(frame)
+    assert kept.schema == frame.schema
+    found = sorted(map(tuple, kept.collect()))
+    assert [r[0] for r in found] == [1, 2, 3] and set(found) <= set(rows)
+    assert found == sorted(map(tuple, simhash.one_of_each(frame.repartition(3)).collect()))
+
+
+def test_groups_in_salted_parts(spark, monkeypatch):
+    from blockloom.llm import common, graph
+
+    monkeypatch.setattr(common, "HOT_LEAST", 20)
+    monkeypatch.setattr(common, "HOT_PARTS", 10)
+    monkeypatch.setattr(graph, "HOT_LEAST", 20)
+    rows = [(i, "copies of one text") for i in range(400)] + [(1000 + i, f"text {i} of its own with words {i * 7} and {i * 13}") for i in range(100)] + [(2000, None)] * 90
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(400)) and got[2000] == 2000 and len(got) == 501
+    edges = spark.createDataFrame([(0, i) for i in range(1, 500)] + [(i, i + 1) for i in range(600, 700)], "u long, v long")
+    assert {r.node: r.root for r in connected_components(edges).collect()} == {i: 0 for i in range(500)} | {i: 600 for i in range(600, 701)}
