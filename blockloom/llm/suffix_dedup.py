@@ -1,14 +1,15 @@
 """Suffix-array dedup: bytes covered by strings of ``length`` bytes that start anywhere else too.
 
 1. Winnowing (:mod:`blockloom.llm.anchors`) cuts each text's windows into runs with one anchor each. Equal
-   windows have equal anchors, so only runs whose anchor occurs twice can matter: nothing is lost.
-2. Runs with equal text collapse to one with a weight. A run of weight two or more is repeated as a whole.
-3. The other runs of an anchor, with one representative of each repeated run, go to one block:
-   their Burrows-Wheeler transform and threshold-bounded interval expansion
-   (:mod:`blockloom.llm.interval`) tell which windows start twice.
+   windows have equal anchors at equal offsets, so only runs whose anchor occurs twice can matter: nothing is lost.
+2. Runs with equal text collapse to one, which carries their number as a weight.
+3. The runs of an anchor go to one block: its Burrows-Wheeler transform and threshold-bounded interval expansion
+   (:mod:`blockloom.llm.interval`) tell which windows start twice, weights counted. Every decision is made there.
 4. An anchor with more distinct text than a block may hold (say, a passage that a third of all documents
-   wrap in text of their own) is dealt again by exact contents: first by the bytes that ``STEP``
-   neighbouring windows share, then, where those occur twice, by single windows.
+   wrap in text of their own) is dealt again: its windows are parted by how far they reach to the left of the anchor,
+   and those of a part by the bytes that all windows of the part have around the anchor. Equal windows stay together, as
+   they reach as far and have equal bytes. The finer groups collapse and go to transforms as before; groups still
+   too large are parted once more, down to single windows, whose groups hold one text alone.
 """
 
 from __future__ import annotations
@@ -23,20 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import anchors
-from blockloom.llm.common import documents, lean, materialize, release, row_key
+from blockloom.llm.common import documents, drop, hot_documents, hot_keys, join_documents, join_split, lean, materialize, release, row_key
 from blockloom.llm.interval import repeated_starts
 
 #: Bytes of a transform; small enough to stay in cache.
 BLOCK = 1 << 19
-#: Bytes of distinct text of one anchor that a block may hold.
-MOST = 3_000_000
-#: Windows that are first dealt together where an anchor has more.
-STEP = 25
+#: Bytes of distinct text of one group that a block may hold; larger groups are dealt again.
+MOST = 1 << 18
+#: Parts that the windows of an oversize group are dealt to.
+PARTS = 4
 #: A longer text is cut into pieces that overlap by a window.
 PIECE = 1 << 23
 
 _RUNS = "ah long, sh long, doc_id long, rid long, loc long"
-_SPANS = "doc_id long, rid long, a int, b int"
+#: What a transform decides: spans of windows (from the text's start) of a run, and whether it is one of several equal ones.
+_SPANS = "ah long, sh long, n long, doc_id long, rid long, a int, b int"
+#: A run with its text: n equal ones; the windows a text may hold reach lo to hi bytes to the left of the anchor.
+_PIECES = "ah long, sh long, n long, loc long, lo int, hi int, doc_id long, rid long, text binary"
 
 
 def _signed64(x) -> np.ndarray:
@@ -85,19 +89,57 @@ def _runs(length: int, gram: int):
     return run
 
 
-def _texts(length: int):
-    """The text of each requested run."""
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()]
+    names = ["ah", "sh", "n", "loc", "lo", "hi", "doc_id", "rid", "text"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _texts(length: int, gram: int):
+    """The text of each requested run. Copies of a row, which come to the same tasks, are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(9)]
             for doc_id, rid, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text", "asked")), strict=True):
+                if rid in seen:
+                    continue
+                if len(seen) >= 1 << 16:
+                    seen.clear()
+                seen.add(rid)
                 for r in asked:
                     start, more = r["loc"] >> 32, r["loc"] >> 16 & 0xFFFF
-                    for column, value in zip(cols, (r["ah"], r["sh"], r["n"], r["loc"], doc_id, rid, text[start : start + more + length]), strict=True):
+                    for column, value in zip(cols, (r["ah"], r["sh"], r["n"], r["loc"], 0, length - gram, doc_id, rid, text[start : start + more + length]), strict=True):
                         column.append(value)
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ah", "sh", "n", "loc", "doc_id", "rid", "text"])
+            yield _batch(cols)
+
+    return run
+
+
+def _finer(length: int):
+    """The runs of oversize groups, each cut into runs whose windows reach about as far to the left of the anchor.
+
+    The new group is a hash of the old one, the reach, and the bytes that all windows of that reach have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(9)]
+            for ah, _, n, loc, lo, hi, doc_id, rid, text in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                start, more, anchor = loc >> 32, loc >> 16 & 0xFFFF, loc & 0xFFFF
+                step = -(-(hi - lo + 1) // PARTS)
+                for l in range(lo, hi + 1, step):  # noqa: E741
+                    h = min(hi, l + step - 1)
+                    first, last = max(0, anchor - h), min(more, anchor - l)
+                    if first <= last:
+                        core = text[anchor - l : anchor - h + length]
+                        part = text[first : last + length]
+                        group = xxhash.xxh3_64_digest(b"%d %d %d " % (ah, l, h) + core)
+                        row = (int.from_bytes(group, "big", signed=True), int.from_bytes(xxhash.xxh3_64_digest(part), "big", signed=True), n, start + first << 32 | last - first << 16 | anchor - first, l, h, doc_id, rid, part)
+                        for column, value in zip(cols, row, strict=True):
+                            column.append(value)
+            yield _batch(cols)
 
     return run
 
@@ -108,85 +150,91 @@ def _ranges(found: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), (edge[1::2] - 1).tolist()
 
 
-def _transform(length: int):
-    """Blocks of whole anchors, in order; spans of the repeated windows of runs of weight one."""
+def _transform(length: int, alone: bool):
+    """Blocks of whole groups, in order; the windows that start twice, as spans. ``alone``: each run is a group of its own."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        out: list[list] = [[], [], [], []]
-        for (_, n, loc, doc_id, rid, _), found in zip(rows, repeated_starts([r[5] for r in rows], [min(2, r[1]) for r in rows], length), strict=True):
-            if n == 1 and found.any():
+        out: list[list] = [[] for _ in range(7)]
+        for (ah, sh, n, loc, doc_id, rid, _), found in zip(rows, repeated_starts([r[6] for r in rows], [min(2, r[2]) for r in rows], length), strict=True):
+            if found.any():
                 for a, b in zip(*_ranges(found), strict=True):
-                    for column, value in zip(out, (doc_id, rid, (loc >> 32) + a, (loc >> 32) + b), strict=True):
+                    for column, value in zip(out, (ah, sh, n, doc_id, rid, (loc >> 32) + a, (loc >> 32) + b), strict=True):
                         column.append(value)
         if not out[1]:
             return None
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "rid", "a", "b"])
+        kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["ah", "sh", "n", "doc_id", "rid", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("ah", "n", "loc", "doc_id", "rid", "text")), strict=True):
-                if size >= BLOCK and row[0] != last:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("ah", "sh", "n", "loc", "doc_id", "rid", "text")), strict=True):
+                if row[:2] == last:
+                    continue  # the same run, of a copy of its row
+                if size >= BLOCK and (alone or row[0] != last[0]):
                     if (out := solve(rows)) is not None:
                         yield out
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[5])
-                last = row[0]
+                size += len(row[6])
+                last = row[:2]
         if rows and (out := solve(rows)) is not None:
             yield out
 
     return run
 
 
-def _contents(length: int, step: int):
-    """For each ``step`` neighbouring windows of a run (from its anchor, so that equal ones meet): a hash of the bytes that all of them share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, first, last, digests = [], [], [], []
-            n_rows = batch.num_rows
-            froms = batch.column("a").to_pylist() if "a" in batch.schema.names else [0] * n_rows
-            for i, (loc, text, lo) in enumerate(zip(batch.column("loc").to_pylist(), batch.column("text").to_pylist(), froms, strict=True)):
-                more, anchor = loc >> 16 & 0xFFFF, loc & 0xFFFF
-                hi = more if "a" not in batch.schema.names else batch.column("b")[i].as_py()
-                x = lo - (lo - anchor) % step
-                while x <= hi:
-                    core = text[max(0, x + step - 1) : x + length]
-                    at.append(i)
-                    first.append(max(x, lo))
-                    last.append(min(x + step - 1, hi))
-                    digests.append(xxhash.xxh3_128_digest(core))
-                    x += step
-            if at:
-                halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                rows = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(batch.column(c).take(rows) for c in ("ah", "sh", "n", "loc", "doc_id", "rid")), pa.array(first, pa.int32()), pa.array(last, pa.int32())],
-                    names=["c1", "c2", "ah", "sh", "n", "loc", "doc_id", "rid", "a", "b"],
-                )
-
-    return run
-
-
-_CONTENTS = "c1 long, c2 long, ah long, sh long, n long, loc long, doc_id long, rid long, a int, b int"
+def _solved(pieces: DataFrame, length: int, alone: bool = False) -> DataFrame:
+    """What transforms decide for ``pieces`` whose groups all fit a block, or which are groups by themselves."""
+    dealt = pieces.repartition("ah", "sh") if alone else pieces.repartition("ah")
+    return dealt.sortWithinPartitions("ah", "sh").select("ah", "sh", "n", "loc", "doc_id", "rid", "text").mapInArrow(lean(_transform(length, alone)), _SPANS)
 
 
-def _twice(rows: DataFrame) -> DataFrame:
-    """The rows whose contents occur twice, weights counted."""
-    counts = rows.groupBy("c1", "c2").agg(F.sum("n").alias("total")).filter("total >= 2").select("c1", "c2")
-    return rows.join(counts, ["c1", "c2"], "left_semi")
+def _spans_of(pieces: DataFrame, length: int, most: int) -> DataFrame:
+    """(doc_id, rid, a, b) of the windows that start twice, and (ah, sh, n) of the runs decided, from the first groups on.
 
-
-def _by_contents(hot: DataFrame, length: int) -> DataFrame:
-    """Spans for the anchors that no block may hold, by exact contents."""
-    near = materialize(_twice(hot.select("ah", "sh", "n", "loc", "doc_id", "rid", "text").mapInArrow(_contents(length, STEP), _CONTENTS)).select("ah", "sh", "a", "b"), "near")
-    again = hot.join(near, ["ah", "sh"]).select("ah", "sh", "n", "loc", "doc_id", "rid", "text", "a", "b")
-    found = _twice(again.mapInArrow(_contents(length, 1), _CONTENTS)).filter("n = 1")
-    start = F.shiftright("loc", 32).cast("int")
-    return found.select("doc_id", "rid", (start + F.col("a")).alias("a"), (start + F.col("b")).alias("b"))
+    ``pieces``: one row for each distinct run, n how many there are. A run of n >= 2 stands for rows elsewhere, which the
+    caller knows by (ah, sh).
+    """
+    sizes = lambda rows: rows.groupBy("ah").agg(F.sum("bytes").alias("bytes"))
+    sized = pieces.withColumn("bytes", F.octet_length("text").cast("long"))
+    large = materialize(sizes(sized).filter(F.col("bytes") > most), "large")
+    if not large.limit(1).count():
+        return materialize(_solved(pieces, length), "spans")
+    # few groups are large: each has over `most` bytes
+    hot = hot_keys(large.select("ah", F.col("bytes").alias("n")), ["ah"], large.agg(F.sum("bytes")).first()[0])
+    marked = join_split(pieces, large.withColumn("large", F.lit(True)).select("ah", "large"), ["ah"], hot, "left")
+    rest = materialize(marked.filter("large").select(pieces.columns), "large")
+    # a run of an oversize group that stands for several is decided by its weight; single ones by what they share
+    spans = materialize(_solved(marked.filter("large IS NULL").drop("large"), length).unionByName(_solved(rest.filter("n >= 2"), length, alone=True)), "spans")
+    while True:
+        parts = rest.mapInArrow(lean(_finer(length), 1000), _PIECES)
+        # equal parts collapse; those of single runs are remembered, as each may be a span
+        parts = materialize(parts, "parts")
+        kinds = materialize(parts.groupBy("ah", "sh").agg(F.sum("n").alias("total"), F.count("*").alias("n_rows"), *(F.first(c).alias(c) for c in ("loc", "lo", "hi", "doc_id", "rid", "text"))), "kinds")
+        groups = kinds.groupBy("ah").agg(F.sum("total").alias("n_all"), F.count("*").alias("n_kinds"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.max("lo").alias("lo"), F.max("hi").alias("hi")).filter("n_all >= 2")
+        live = materialize(groups.withColumn("large", F.expr(f"bytes > {most} AND hi > lo AND n_kinds > 1")).select("ah", "large", "n_kinds"), "groups")
+        some = hot_keys(live.select("ah", F.col("n_kinds").alias("n")), ["ah"], live.agg(F.coalesce(F.sum("n_kinds"), F.lit(0))).first()[0])
+        own = join_split(kinds.withColumnRenamed("total", "n"), live.drop("n_kinds"), ["ah"], some)
+        columns = ["ah", "sh", "n", "loc", "lo", "hi", "doc_id", "rid", "text"]
+        found = materialize(_solved(own.filter("NOT large").select(columns), length), "spans")
+        rest = materialize(own.filter("large").select(columns), "large")
+        # a kind of weight 1 is a single row; the rows of others are looked up
+        single = found.filter("n = 1")
+        whole = found.filter("n >= 2").unionByName(_solved(rest.filter("n >= 2"), length, alone=True))
+        decided = whole.select("ah", "sh").distinct().join(kinds.filter("n_rows > 1").select("ah", "sh", F.col("n_rows").alias("n")), ["ah", "sh"])
+        decided = materialize(decided, "decided")
+        heat = hot_keys(decided, ["ah", "sh"], parts.count())
+        start, more = F.shiftright("loc", 32).cast("int"), F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        members = join_split(parts.filter("n = 1").select("ah", "sh", "doc_id", "rid", "loc"), decided.select("ah", "sh"), ["ah", "sh"], heat)
+        now = single.select("doc_id", "rid", "a", "b").unionByName(members.select("doc_id", "rid", start.alias("a"), (start + more).alias("b")))
+        now = now.select(F.lit(0).cast("long").alias("ah"), F.lit(0).cast("long").alias("sh"), F.lit(1).cast("long").alias("n"), "doc_id", "rid", "a", "b")
+        spans = spans.unionByName(materialize(now, "spans"))
+        drop(parts, found, kinds)
+        release(pieces.sparkSession)
+        if not rest.limit(1).count():
+            return spans
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,32 +245,33 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None,
     """
     spark = docs.sparkSession
     gram = gram or min(anchors.GRAM, max(1, length // 3))
+    if not 0 < gram <= length or length - gram > 0xFFFF:
+        raise ValueError("the anchor must be at least a byte long, fit a window, and be at most 65,535 bytes shorter")
     texts = documents(docs, id_col, text_col).select("doc_id", row_key().alias("rid"), F.col("text").cast("binary").alias("text"))
+    hot_rows = hot_documents(texts)
     runs = materialize(texts.mapInArrow(lean(_runs(length, gram), 1000), _RUNS), "runs")
     # equal runs collapse in the partial aggregate, so a hot anchor's copies are never gathered
-    kinds = runs.groupBy("ah", "sh").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "rid", "loc")))
-    size = (F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)) + length).cast("long")
-    groups = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("n_kinds"), F.min("n").alias("least"), F.sum(size).alias("bytes")).filter("total >= 2")
-    live = materialize(kinds.join(groups, "ah").select("ah", "sh", "n", "doc_id", "rid", "loc", "n_kinds", "least", "bytes"), "kinds")
+    kinds = materialize(runs.groupBy("ah", "sh").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "rid", "loc"))), "kinds")
+    groups = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("n_kinds")).filter("total >= 2")
+    wide = hot_keys(groups.select("ah", F.col("n_kinds").alias("n")), ["ah"], kinds.count())
+    live = materialize(join_split(kinds, groups.select("ah"), ["ah"], wide).select("ah", "sh", "n", "doc_id", "rid", "loc"), "live")
+    drop(kinds)
     release(spark)
-    whole = live.filter("n >= 2").select("ah", "sh")
-    start, more = F.shiftright("loc", 32).cast("int"), F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    of_whole = materialize(runs.join(whole, ["ah", "sh"], "left_semi").select("doc_id", "rid", start.alias("a"), (start + more).alias("b")), "whole")
+    asked = live.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("ah", "sh", "n", "loc")).alias("asked"))
+    wanted = join_documents(texts, asked, hot_rows, "inner").select("doc_id", "rid", "text", "asked")
+    pieces = materialize(wanted.mapInArrow(lean(_texts(length, gram), 1000), _PIECES), "pieces")
+    drop(live)
     release(spark)
-    # only anchors that have a run of weight one have anything left to find
-    asked = live.filter("n_kinds > 1 AND least = 1").groupBy("doc_id", "rid").agg(F.collect_list(F.struct("ah", "sh", "n", "loc")).alias("asked"))
-    wanted = texts.join(asked, same_document(texts, asked)).select(texts["doc_id"], texts["rid"], "text", "asked")
-    pieces = materialize(wanted.mapInArrow(lean(_texts(length), 1000), "ah long, sh long, n long, loc long, doc_id long, rid long, text binary"), "pieces")
+    spans = _spans_of(pieces, length, most)
     release(spark)
-    hot_keys = live.filter(f"bytes > {most} AND n_kinds > 1 AND least = 1").select("ah").distinct()
-    some_hot = bool(hot_keys.limit(1).count())
-    cold = pieces.join(hot_keys, "ah", "left_anti") if some_hot else pieces
-    spans = materialize(cold.repartition("ah").sortWithinPartitions("ah", "sh").select("ah", "n", "loc", "doc_id", "rid", "text").mapInArrow(lean(_transform(length)), _SPANS), "spans")
-    found = spans.unionByName(of_whole)
-    if some_hot:
-        found = found.unionByName(_by_contents(pieces.join(hot_keys, "ah", "left_semi"), length))
-    release(spark)
-    return found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # the rows of a run that stands for several; all of its windows start twice, as a transform found with its weight
+    decided = spans.filter("n >= 2").groupBy("ah", "sh").agg(F.first("n").alias("n"))
+    heat = hot_keys(decided, ["ah", "sh"], runs.count())
+    start, more = F.shiftright("loc", 32).cast("int"), F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    members = join_split(runs, decided.select("ah", "sh"), ["ah", "sh"], heat).select("doc_id", "rid", start.alias("a"), (start + more).alias("b"))
+    found = spans.filter("n = 1").select("doc_id", "rid", "a", "b").unionByName(members)
+    # the spans of a row that is repeated are those of any of its copies
+    return found.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def covered(n: int, spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -267,6 +316,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, digest: bool = False, gram:
     """
     found = repeated_spans(docs, length, gram, most, id_col, text_col)
     texts = documents(docs, id_col, text_col).withColumn("rid", row_key())
-    both = texts.join(found, same_document(texts, found), "left").select(texts["doc_id"], texts["text"].cast("binary").alias("text"), found["spans"])
+    both = join_documents(texts, found, hot_documents(texts)).select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     what = "kept_sha256 string" if digest else "kept binary"
     return both.mapInArrow(lean(_remove(length, digest), 1000), f"doc_id long, n_bytes long, n_removed long, n_spans long, {what}")
