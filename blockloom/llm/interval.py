@@ -16,11 +16,11 @@ import numpy as np
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
     """All positions, sorted by the ``length`` bytes from there, going round at the end; prefix doubling on ties."""
     n = len(text)
-    padded = np.resize(text, n + 8).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    key = np.resize(text, n + 8).astype(np.uint64)
+    for have in (1, 2, 4):
+        key = key[:-have] << np.uint64(8 * have) | key[have:]
+    key = key[:n]
+    order = np.argsort(key)
     fresh = np.ones(n, bool)
     fresh[1:] = key[order][1:] != key[order][:-1]
     rank = np.empty(n, np.int64)
@@ -41,14 +41,26 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
         rank[tied] = (key >> 32) + moved
         have += step
         tied = tied[~(fresh & np.append(fresh[1:], True))]
-    return np.argsort(rank, kind="stable")
+    # those with a rank of their own have their place; the others follow in order from their rank on
+    shared = np.bincount(rank, minlength=n)[rank] > 1
+    order[rank[~shared]] = np.flatnonzero(~shared)
+    left = np.flatnonzero(shared)
+    if len(left):
+        left = left[np.argsort(rank[left], kind="stable")]
+        ranks = rank[left]
+        fresh = np.ones(len(left), bool)
+        fresh[1:] = ranks[1:] != ranks[:-1]
+        at = np.arange(len(left))
+        order[ranks + at - np.maximum.accumulate(np.where(fresh, at, 0))] = left
+    return order
 
 
 def unreached(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Boundaries (row i with row i-1) that share at least ``length`` bytes, as a bool array."""
     n = len(text)
-    last = text[order - 1].astype(np.int64)  # the byte before each row's suffix, cyclic
-    by_byte = np.argsort(last, kind="stable")
+    last = text[order - 1]  # the byte before each row's suffix, cyclic
+    by_byte = np.argsort(last, kind="stable")  # a radix sort, as these are bytes
+    last = last.astype(np.int64)
     keyed = last[by_byte] * n + by_byte  # rank queries are binary searches here
     step = np.empty(n, np.int64)
     step[by_byte] = np.arange(n)  # row to the row of its suffix, one byte longer
