@@ -4,7 +4,8 @@ The suffixes of a block of texts are sorted by their first ``length`` bytes. The
 supports backward extension: the rows that start with a string w are an interval, and
 one step maps it to the interval of cw for each byte c before it. Extending breadth first,
 intervals of length l end where neighbouring rows share exactly l bytes, so common prefixes come out by
-increasing value. At ``length`` the expansion stops: boundaries that were never reached lie between rows that
+increasing value. The first eight bytes are sort keys, so the intervals of that length are known, and the expansion
+starts from those whose end rows share seven bytes. At ``length`` the expansion stops: boundaries that were never reached lie between rows that
 share ``length`` bytes or more.
 """
 
@@ -13,16 +14,28 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
-    """All positions, sorted by the ``length`` bytes from there, going round at the end; prefix doubling on ties."""
+#: Bytes of a sort key.
+KEY = 8
+
+
+def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All positions, sorted by the ``length`` bytes from there, going round at the end; prefix doubling on ties.
+
+    And how many bytes each row shares with the one before it, at most ``KEY``.
+    """
     n = len(text)
     key = np.resize(text, n + 8).astype(np.uint64)
-    for have in (1, 2, 4):
+    for have in (1, 2, 4):  # up to KEY bytes
         key = key[:-have] << np.uint64(8 * have) | key[have:]
     key = key[:n]
     order = np.argsort(key)
+    placed = key[order]
+    differ = placed[1:] ^ placed[:-1]
+    shared = np.zeros(n, np.int64)
+    for k in range(KEY):
+        shared[1:] += differ < np.uint64(1 << 8 * k)
     fresh = np.ones(n, bool)
-    fresh[1:] = key[order][1:] != key[order][:-1]
+    fresh[1:] = differ != 0
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     have = 8
@@ -42,9 +55,9 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
         have += step
         tied = tied[~(fresh & np.append(fresh[1:], True))]
     # those with a rank of their own have their place; the others follow in order from their rank on
-    shared = np.bincount(rank, minlength=n)[rank] > 1
-    order[rank[~shared]] = np.flatnonzero(~shared)
-    left = np.flatnonzero(shared)
+    equal = np.bincount(rank, minlength=n)[rank] > 1
+    order[rank[~equal]] = np.flatnonzero(~equal)
+    left = np.flatnonzero(equal)
     if len(left):
         left = left[np.argsort(rank[left], kind="stable")]
         ranks = rank[left]
@@ -52,12 +65,20 @@ def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
         fresh[1:] = ranks[1:] != ranks[:-1]
         at = np.arange(len(left))
         order[ranks + at - np.maximum.accumulate(np.where(fresh, at, 0))] = left
-    return order
+    return order, shared
 
 
-def unreached(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def unreached(text: np.ndarray, order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
     """Boundaries (row i with row i-1) that share at least ``length`` bytes, as a bool array."""
     n = len(text)
+    apart = np.append(shared < min(KEY, length), True)
+    apart[0] = True
+    ends = np.flatnonzero(apart)
+    # intervals of KEY bytes whose last row shares one byte less with the next
+    some = np.flatnonzero(np.append(shared, 0)[ends[1:]] == KEY - 1)
+    if length <= KEY or not len(some):
+        return ~apart[:n]
+    low, high = ends[some], ends[some + 1]
     last = text[order - 1]  # the byte before each row's suffix, cyclic
     by_byte = np.argsort(last, kind="stable")  # a radix sort, as these are bytes
     last = last.astype(np.int64)
@@ -65,10 +86,7 @@ def unreached(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     step = np.empty(n, np.int64)
     step[by_byte] = np.arange(n)  # row to the row of its suffix, one byte longer
     letters = np.unique(last)
-    apart = np.zeros(n + 1, bool)
-    apart[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(length):
+    for _ in range(KEY, length):
         if not len(low):
             break
         size = high - low
@@ -115,8 +133,8 @@ def repeated_starts(texts: list[bytes], weights: list[int], length: int) -> list
         begins.append(at)
         at += len(t) + 1
     text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    order = suffix_order(text, length)
-    same = unreached(text, order, length)
+    order, shared = suffix_order(text, length)
+    same = unreached(text, order, shared, length)
     # windows that would cross into the next text don't count, whatever they equal
     weight = np.zeros(len(text), np.int64)
     for b, t, w in zip(begins, texts, weights, strict=True):
