@@ -3,7 +3,8 @@
 1. Winnowing (:mod:`blockloom.llm.anchors`) cuts each text's windows into runs with one anchor each. Equal
    windows have equal anchors at equal offsets, so only runs whose anchor occurs twice can matter: nothing is lost.
 2. Runs with equal text collapse to one, which carries their number as a weight.
-3. The runs of an anchor go to one block: its Burrows-Wheeler transform and threshold-bounded interval expansion
+3. The runs of an anchor go to one block (those with an anchor for themselves to the block of the stretch of text that they
+   are in): its Burrows-Wheeler transform and threshold-bounded interval expansion
    (:mod:`blockloom.llm.interval`) tell which windows start twice, weights counted. Every decision is made there.
 4. An anchor with more distinct text than a block may hold (say, a passage that a third of all documents
    wrap in text of their own) is dealt again: its windows are parted by how far they reach to the left of the anchor,
@@ -95,11 +96,39 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _stretches(asked: list[dict], length: int) -> list[tuple[int, int, list[dict]]]:
+    """First and last byte, and runs, of each stretch of runs whose windows follow each other."""
+    out: list[tuple[int, int, list[dict]]] = []
+    for r in sorted(asked, key=lambda r: r["loc"]):
+        first, last = r["loc"] >> 32, (r["loc"] >> 32) + (r["loc"] >> 16 & 0xFFFF)
+        if out and first <= out[-1][1] - length + 1 and last + length - (at := out[-1])[0] <= BLOCK:
+            out[-1] = (at[0], last + length, [*at[2], r])
+        else:
+            out.append((first, last + length, [r]))
+    return out
+
+
 def _texts(length: int, gram: int):
-    """The text of each requested run. Copies of a row, which come to the same tasks, are passed over."""
+    """The text of each requested run. Copies of a row, which come to the same tasks, are passed over.
+
+    A run that is the only one of its anchor, but stands for several, shares windows with no other: its weight decides.
+    Stretches of such runs go through a transform at once, with that weight; those decided come back without a text.
+    """
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        cols: list[list] = [[] for _ in range(9)]
+        for (doc_id, rid, begin, runs, _), found in zip(rows, repeated_starts([r[4] for r in rows], [2] * len(rows), length), strict=True):
+            for r in runs:
+                first, more = (r["loc"] >> 32) - begin, r["loc"] >> 16 & 0xFFFF
+                if found[first : first + more + 1].all():
+                    for column, value in zip(cols, (r["ah"], r["sh"], r["n"], r["loc"], 0, length - gram, doc_id, rid, None), strict=True):
+                        column.append(value)
+        return _batch(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             cols: list[list] = [[] for _ in range(9)]
             for doc_id, rid, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "rid", "text", "asked")), strict=True):
@@ -108,11 +137,20 @@ def _texts(length: int, gram: int):
                 if len(seen) >= 1 << 16:
                     seen.clear()
                 seen.add(rid)
+                for begin, end, runs in _stretches([r for r in asked if r["n_kinds"] == 1], length):
+                    held.append((doc_id, rid, begin, runs, text[begin:end]))
+                    size += end - begin
+                    if size >= BLOCK:
+                        yield solve(held)
+                        held, size = [], 0
                 for r in asked:
-                    start, more = r["loc"] >> 32, r["loc"] >> 16 & 0xFFFF
-                    for column, value in zip(cols, (r["ah"], r["sh"], r["n"], r["loc"], 0, length - gram, doc_id, rid, text[start : start + more + length]), strict=True):
-                        column.append(value)
+                    if r["n_kinds"] > 1:
+                        start, more = r["loc"] >> 32, r["loc"] >> 16 & 0xFFFF
+                        for column, value in zip(cols, (r["ah"], r["sh"], r["n"], r["loc"], 0, length - gram, doc_id, rid, text[start : start + more + length]), strict=True):
+                            column.append(value)
             yield _batch(cols)
+        if held:
+            yield solve(held)
 
     return run
 
@@ -237,11 +275,11 @@ def _spans_of(pieces: DataFrame, length: int, most: int) -> DataFrame:
             return spans
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, rid, spans): ranges a..b of windows of ``length`` bytes that start anywhere else too.
 
     Window ``a`` is the ``length`` UTF-8 bytes from offset ``a``. Ranges of one document may overlap or touch;
-    documents without any are absent.
+    documents without any are absent. And the hot rows of ``docs``; see :func:`blockloom.llm.common.hot_documents`.
     """
     spark = docs.sparkSession
     gram = gram or min(anchors.GRAM, max(1, length // 3))
@@ -251,27 +289,28 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int | None = None,
     hot_rows = hot_documents(texts)
     runs = materialize(texts.mapInArrow(lean(_runs(length, gram), 1000), _RUNS), "runs")
     # equal runs collapse in the partial aggregate, so a hot anchor's copies are never gathered
-    kinds = materialize(runs.groupBy("ah", "sh").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "rid", "loc"))), "kinds")
+    kinds = materialize(runs.groupBy("ah", "sh").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "loc")).alias("at")).select("ah", "sh", "n", "at.*"), "kinds")
     groups = kinds.groupBy("ah").agg(F.sum("n").alias("total"), F.count("*").alias("n_kinds")).filter("total >= 2")
     wide = hot_keys(groups.select("ah", F.col("n_kinds").alias("n")), ["ah"], kinds.count())
-    live = materialize(join_split(kinds, groups.select("ah"), ["ah"], wide).select("ah", "sh", "n", "doc_id", "rid", "loc"), "live")
+    live = materialize(join_split(kinds, groups.select("ah", "n_kinds"), ["ah"], wide).select("ah", "sh", "n", "n_kinds", "doc_id", "rid", "loc"), "live")
     drop(kinds)
     release(spark)
-    asked = live.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("ah", "sh", "n", "loc")).alias("asked"))
+    asked = live.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("ah", "sh", "n", "n_kinds", "loc")).alias("asked"))
     wanted = join_documents(texts, asked, hot_rows, "inner").select("doc_id", "rid", "text", "asked")
     pieces = materialize(wanted.mapInArrow(lean(_texts(length, gram), 1000), _PIECES), "pieces")
     drop(live)
     release(spark)
-    spans = _spans_of(pieces, length, most)
+    spans = _spans_of(pieces.filter("text IS NOT NULL"), length, most)
     release(spark)
     # the rows of a run that stands for several; all of its windows start twice, as a transform found with its weight
-    decided = spans.filter("n >= 2").groupBy("ah", "sh").agg(F.first("n").alias("n"))
+    decided = spans.filter("n >= 2").select("ah", "sh", "n").unionByName(pieces.filter("text IS NULL").select("ah", "sh", "n"))
+    decided = materialize(decided.groupBy("ah", "sh").agg(F.first("n").alias("n")), "decided")
     heat = hot_keys(decided, ["ah", "sh"], runs.count())
     start, more = F.shiftright("loc", 32).cast("int"), F.shiftright("loc", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
     members = join_split(runs, decided.select("ah", "sh"), ["ah", "sh"], heat).select("doc_id", "rid", start.alias("a"), (start + more).alias("b"))
     found = spans.filter("n = 1").select("doc_id", "rid", "a", "b").unionByName(members)
     # the spans of a row that is repeated are those of any of its copies
-    return found.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return found.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("a", "b")).alias("spans")), hot_rows
 
 
 def covered(n: int, spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -314,8 +353,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, digest: bool = False, gram:
     all such strings; a null doc_id is a doc_id; texts shorter than ``length`` are kept; an empty table gives
     an empty result; other columns are ignored.
     """
-    found = repeated_spans(docs, length, gram, most, id_col, text_col)
+    found, hot = repeated_spans(docs, length, gram, most, id_col, text_col)
     texts = documents(docs, id_col, text_col).withColumn("rid", row_key())
-    both = join_documents(texts, found, hot_documents(texts)).select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
+    both = join_documents(texts, found, hot).select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     what = "kept_sha256 string" if digest else "kept binary"
     return both.mapInArrow(lean(_remove(length, digest), 1000), f"doc_id long, n_bytes long, n_removed long, n_spans long, {what}")
