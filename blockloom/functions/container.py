@@ -10,9 +10,10 @@ trailer after the payload; readers that don't know it never look there.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from blockloom.functions.entropy import pack_chunks, pack_literals, pack_streams, unpack_streams
+from blockloom.functions.entropy import pack_chunks, pack_literals, pack_streams, slice_blob, unpack_streams
 from blockloom.functions.tokens import BadData, decode
 from blockloom.operators.codec import checksum
 
@@ -184,6 +185,59 @@ def read_blocks(data: bytes, wanted: range | None = None, magic: Magic = OURS) -
     return out
 
 
+def record_places(read: Callable, count: int, every: int) -> list[int]:
+    """Where the records of chunks 0, ``every``, 2 * ``every``, ... of a chunked file begin; only record heads are read."""
+    places, at = [], CHUNKED.size
+    for i in range(count):
+        if i % every == 0:
+            places.append(at)
+        mark, _, _, *sizes = _take(read(at, RECORD.size), 0, RECORD)
+        if mark != RECORD_MAGIC:
+            raise BadData(f"chunk {i} has a bad record")
+        at += RECORD.size + sum(sizes)
+    return places
+
+
+def read_range(read: Callable, first: int, last: int, place: int | None = None, magic: Magic = OURS) -> Iterator[tuple[int, int, Block | None]]:
+    """(block_id, raw_size, block) of the blocks first to last - 1 of a file, of which ``read(at, n)`` gives n bytes from ``at``.
+
+    Only the header, the blocks' own index entries, and their bytes are read; of an indexed file, whose streams are
+    packed as a whole, the frames that hold them. ``place``: where the record of ``first`` begins in a chunked
+    file; see :func:`record_places`. A block that can't be read is None.
+    """
+    m = manifest(read(0, HEADER.size), magic)
+    raw = lambda i: min(m.block_size, m.orig_size - i * m.block_size)
+    if m.layout == "chunked":
+        at = record_places(read, first + 1, 1)[first] if place is None else place
+        for i in range(first, last):
+            mark, _, size, *sizes = _take(read(at, RECORD.size), 0, RECORD)
+            if mark != RECORD_MAGIC or size != raw(i):
+                yield from ((j, raw(j), None) for j in range(i, last))  # nothing tells where the next record is
+                return
+            data = read(at + RECORD.size, sum(sizes))
+            cuts = [sum(sizes[:k]) for k in range(5)]
+            yield i, size, Block(size, tuple(data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), None, True)
+            at += RECORD.size + sum(sizes)
+        return
+    base = HEADER.size + m.num_blocks * ENTRY.size
+    index = read(HEADER.size + first * ENTRY.size, (last - first) * ENTRY.size)
+    entries = [_take(index, k * ENTRY.size, ENTRY) for k in range(last - first)]
+    if m.layout == "interleaved":
+        for i, e in enumerate(entries, first):
+            yield i, raw(i), Block(raw(i), tuple(read(base + o, s) for o, s in zip(e[:4], e[4:], strict=True)), None, True)
+        return
+    sizes = HEADER.unpack_from(read(0, HEADER.size))[6:]
+    begins = [base + sum(sizes[:k]) for k in range(4)]
+    bounds = [(min(e[k] for e in entries), max(e[k] + e[4 + k] for e in entries)) for k in range(4)]
+    try:
+        parts = [slice_blob(lambda at, n, b=b: read(b + at, n), lo, hi) for b, (lo, hi) in zip(begins, bounds, strict=True)]
+    except BadData:
+        yield from ((i, raw(i), None) for i in range(first, last))
+        return
+    for i, e in enumerate(entries, first):
+        yield i, raw(i), Block(raw(i), tuple(p[o - lo : o - lo + s] for o, s, p, (lo, _) in zip(e[:4], e[4:], parts, bounds, strict=True)), None, False)
+
+
 def read_object(data: bytes, magic: Magic = OURS) -> bytes:
     """The object of a container, verified where it has a checksum."""
     m = manifest(data, magic)

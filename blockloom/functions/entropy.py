@@ -7,6 +7,7 @@ each chunk (bit 63: stored raw), the chunks. All numbers are little-endian.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 from blockloom.functions.tokens import BadData
 
@@ -110,3 +111,35 @@ def pack_streams(streams: tuple[bytes, bytes, bytes, bytes]) -> tuple[bytes, byt
 def unpack_streams(blobs: tuple[bytes, bytes, bytes, bytes]) -> tuple[bytes, bytes, bytes, bytes]:
     lit, off, length, cmd = blobs
     return unpack_literals(lit), unpack_chunks(off), unpack_chunks(length), unpack_chunks(cmd)
+
+
+def _covering(read: Callable, at: int, sizes: list[int], cuts: list[tuple[int, int]], raw: list[bool], a: int, b: int) -> bytes:
+    """Bytes a..b of a stream cut at ``cuts``, whose packed pieces of ``sizes`` follow each other from ``at``."""
+    out, begin = [], 0
+    for size, (first, end), plain in zip(sizes, cuts, raw, strict=True):
+        if first < b and end > a:
+            packed = read(at, size)
+            piece = packed if plain else _expand(packed, end - first)
+            if len(piece) != end - first:
+                raise BadData("a raw chunk of the wrong size")
+            begin = first if not out else begin
+            out.append(piece)
+        at += size
+    return b"".join(out)[a - begin : b - begin]
+
+
+def slice_blob(read: Callable, a: int, b: int) -> bytes:
+    """Bytes a..b of the stream in a blob, of which ``read(at, n)`` gives n bytes from ``at``; frames beside them stay unread."""
+    if a >= b:
+        return b""
+    (head,) = _numbers(read(0, 8), 0, 1)
+    total = head & ~FRAMED
+    if b > total:
+        raise BadData("a block that points outside its streams")
+    if head & FRAMED:
+        sizes = list(_numbers(read(8, 8 * LITERAL_FRAMES), 0, LITERAL_FRAMES))
+        return _covering(read, 8 + 8 * LITERAL_FRAMES, sizes, _cuts(total, LITERAL_FRAMES), [False] * LITERAL_FRAMES, a, b)
+    count = -(-total // CHUNK)
+    table = _numbers(read(8, 8 * count), 0, count)
+    cuts = [(i * CHUNK, min(total, (i + 1) * CHUNK)) for i in range(count)]
+    return _covering(read, 8 + 8 * count, [x & ~RAW for x in table], cuts, [bool(x & RAW) for x in table], a, b)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import parse, tokens
 from blockloom.functions.entropy import pack_streams, unpack_streams
-from blockloom.operators.blocks import BLOCK_SIZE, STREAMS, concat_blocks, split_blocks, spread
+from blockloom.operators.blocks import BLOCK_SIZE, STREAMS, split_blocks, spread
 
-OK, BAD_DATA, BAD_CHECKSUM, NULL = "OK", "BAD_DATA", "BAD_CHECKSUM", "NULL"
+OK, BAD_DATA, BAD_CHECKSUM, NULL, MISSING = "OK", "BAD_DATA", "BAD_CHECKSUM", "NULL", "MISSING"
 
 
 def checksum(data: bytes) -> bytes:
@@ -86,12 +86,31 @@ def quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return decoded.join(bad, "object_id", "left_anti"), bad
 
 
+def assembled(decoded: DataFrame) -> DataFrame:
+    """(object_id, payload, status): blocks joined in order, in one pass over ``decoded``.
+
+    An object with a damaged block, or with fewer blocks than its last one's number says, has a null payload and that
+    status. An object has to fit a row, so its blocks are few.
+    """
+    kind = decoded.schema["object_id"].dataType.simpleString()
+    block = F.struct("block_id", "payload")
+    each = decoded.groupBy("object_id").agg(F.min(F.when(F.col("status") != OK, F.col("status"))).alias("bad"), F.count("*").alias("n"), F.max("block_id").alias("last"), F.sort_array(F.collect_list(block)).alias("b"))
+    status = F.coalesce("bad", F.when(F.col("n") != F.col("last") + 1, F.lit(MISSING)).otherwise(F.lit(OK)))
+    parts = each.select("object_id", status.alias("status"), F.col("b.payload").alias("parts"))
+    return parts.select("object_id", "status", F.when(F.col("status") == OK, F.col("parts")).alias("parts")).mapInArrow(_assemble, f"object_id {kind}, payload binary, status string")
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        joined = [None if parts is None else b"".join(parts) for parts in batch.column("parts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("object_id"), pa.array(joined, pa.binary()), batch.column("status")], names=["object_id", "payload", "status"])
+
+
 def roundtrip(objs: DataFrame, block_size: int = BLOCK_SIZE, level: int = 2, entropy: bool = True) -> DataFrame:
     """(object_id, payload) after splitting, encoding, decoding and joining; empty objects come back empty."""
     decoded = decode_blocks(encode_blocks(spread(split_blocks(objs, block_size)), level, entropy), entropy)
-    good, _ = quarantine(decoded)
     empty = objs.filter(F.octet_length("payload") == 0).select("object_id", "payload")
-    return concat_blocks(good.select("object_id", "block_id", "payload")).unionByName(empty)
+    return assembled(decoded).filter(F.col("status") == OK).select("object_id", "payload").unionByName(empty)
 
 
 def _tokens(entropy: bool):

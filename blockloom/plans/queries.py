@@ -19,7 +19,8 @@ from blockloom.functions.api import compress_column, decompress_column
 from blockloom.operators import blocks as B
 from blockloom.operators import codec
 from blockloom.operators.shared import shared_dir
-from blockloom.sources.container import from_containers, to_containers
+from blockloom.sources.container import ContainerSource, from_containers, read_files, to_containers
+from blockloom.sources.ranges import RangeSource
 from blockloom.streaming.stream import decode_stream, encode_stream, write_stream
 
 BLOCK = 4096
@@ -128,7 +129,7 @@ def decode_ranges(spark, sf_dir):
 coalesce(sum(s % 7) OVER w, 0)::BIGINT AS len_off, (s % 7)::BIGINT AS len_sz, coalesce(sum(s // 128 + 1) OVER w, 0)::BIGINT AS cmd_off, (s // 128 + 1)::BIGINT AS cmd_sz
 FROM (SELECT doc_id, b, octet_length(raw) AS s FROM {BLOCKS}) WINDOW w AS (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def offset_index(spark, sf_dir):
-    """The index over stream sizes that SQL can follow: made up from the raw size."""
+    """The index over stream sizes that SQL can follow: made up from the raw size; :func:`stream_slices` has real ones."""
     n = F.col("raw_size")
     sizes = split(spark, sf_dir).select("object_id", "block_id", n.alias("lit_sz"), F.floor(n / 3).alias("off_sz"), (n % 7).alias("len_sz"), (F.floor(n / 128) + 1).alias("cmd_sz"))
     index = B.offset_index(sizes)
@@ -146,10 +147,35 @@ def stream_concat(spark, sf_dir):
     return named(B.concat_blocks(split(spark, sf_dir)), F.octet_length("payload").cast("long").alias("n_bytes"), sha())
 
 
+def _stored(spark, frame: DataFrame, label: str) -> DataFrame:
+    """``frame`` written to the shared folder and read again."""
+    path = _folder(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _folder(spark, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 @query(f"SELECT doc_id, b AS block_id, sha256(raw) AS sha256 FROM {BLOCKS} WHERE b = 1")
 def random_access(spark, sf_dir):
-    """One block of each object; the filter stands before the decoding."""
-    return named(codec.decode_blocks(encoded(spark, sf_dir).filter("block_id = 1")).filter("status = 'OK'"), "block_id", sha())
+    """One block of each object, of stored blocks: the filter reaches the scan, and only those blocks are decoded."""
+    blocks = codec.encode_blocks(split(spark, sf_dir).repartitionByRange("block_id", "object_id").sortWithinPartitions("block_id", "object_id"))
+    stored = _stored(spark, blocks, "blocks")
+    return named(codec.decode_blocks(stored.filter("block_id = 1")).filter("status = 'OK'"), "block_id", sha())
+
+
+@query(f"SELECT doc_id, b AS block_id, octet_length(raw)::BIGINT AS raw_size, sha256(raw) AS sha256 FROM {BLOCKS}")
+def stream_slices(spark, sf_dir):
+    """Streams joined for each object, cut by the index of their real sizes, and decoded block by block."""
+    plain = _stored(spark, encoded(spark, sf_dir, entropy=False), "streams")
+    index = B.offset_index(codec.stream_sizes(plain))
+    cut = plain.select("object_id", "block_id", "raw_size", "xxh3")
+    for s in B.STREAMS:
+        whole = B.concat_blocks(plain.select("object_id", "block_id", F.col(s).alias("payload")))
+        cut = cut.join(B.slice_by_index(whole, index, s).withColumnRenamed("payload", s), ["object_id", "block_id"])
+    return named(codec.decode_blocks(cut, entropy=False).filter("status = 'OK'"), "block_id", "raw_size", sha())
 
 
 @query(f"SELECT doc_id, (n * 8192)::BIGINT AS size, (CASE WHEN n * 8192 < 16777216 THEN 13 WHEN n * 8192 < 134217728 THEN 15 ELSE 17 END)::INT AS hash_log FROM {D}")
@@ -350,9 +376,8 @@ def _flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def corruption_detect(spark, sf_dir):
     plain = encoded(spark, sf_dir, entropy=False)
     decoded = codec.decode_blocks(plain.mapInArrow(_flip, plain.schema), entropy=False)
-    good, bad = codec.quarantine(decoded)
-    whole = named(B.concat_blocks(good), F.lit(False).alias("quarantined"), sha())
-    return whole.unionByName(named(bad, F.lit(True).alias("quarantined"), F.lit(None).cast("string").alias("sha256")))
+    whole = codec.assembled(decoded)
+    return named(whole, (F.col("status") != codec.OK).alias("quarantined"), sha())
 
 
 def _damaged(frame: DataFrame, at: int, every: int) -> DataFrame:
@@ -434,6 +459,56 @@ def container_interleaved_write(spark, sf_dir):
     return _written(spark, sf_dir, "interleaved")
 
 
+ITEMS = "(SELECT item_id, encode(text) AS x, octet_length(encode(text)) AS n FROM benchmark)"
+
+
+def _files(spark, sf_dir, layout: str) -> str:
+    """A file for each text of ``benchmark``, written by the data source; the folder that holds them."""
+    spark.dataSource.register(ContainerSource)
+    folder = _folder(spark, "files")
+    items = B.objects(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("object_id", F.col("object_id").cast("string"))
+    items.write.format("blockloom").option("layout", layout).option("block_size", SMALL).mode("append").save(folder)
+    return folder
+
+
+#: Bytes of a block where objects are short.
+SMALL = 64
+
+
+def _item() -> Column:
+    """The id in a file's name."""
+    return F.regexp_extract("object_id", "([0-9]+)$", 1).cast("long").alias("item_id")
+
+
+def _file_query(layout: str):
+    def run(spark, sf_dir):
+        """Files written and read through the data source, a few blocks a partition."""
+        rows = spark.read.format("blockloom").option("blocks_per_partition", 3).load(_files(spark, sf_dir, layout))
+        return rows.select(_item(), "block_id", "raw_size", "status", sha())
+
+    return run
+
+
+for _layout in ("indexed", "chunked", "interleaved"):
+    QUERIES[f"container_file_{_layout}"] = _file_query(_layout)
+    ORACLES[f"container_file_{_layout}"] = f"SELECT item_id, b AS block_id, least({SMALL}, n - b * {SMALL})::BIGINT AS raw_size, 'OK' AS status, sha256(array_slice(x, b * {SMALL} + 1, (b + 1) * {SMALL})) AS sha256 FROM (SELECT *, unnest(range(0, (n + {SMALL - 1}) // {SMALL})) AS b FROM {ITEMS})"
+
+
+@query(f"SELECT item_id, b AS block_id, least({SMALL}, n - b * {SMALL})::BIGINT AS raw_size, sha256(array_slice(x, b * {SMALL} + 1, (b + 1) * {SMALL})) AS sha256 FROM (SELECT *, unnest(range(0, (n + {SMALL - 1}) // {SMALL})) AS b FROM {ITEMS})")
+def raw_files(spark, sf_dir):
+    """Bytes written by the raw sink and read by byte ranges."""
+    spark.dataSource.register(RangeSource)
+    rows = spark.read.format("blockloom_bytes").option("block_size", SMALL).option("blocks_per_partition", 3).load(_files(spark, sf_dir, "raw"))
+    return rows.select(_item(), "block_id", "raw_size", sha())
+
+
+@query(f"SELECT item_id, 'chunked' AS layout, 'OK' AS status, n::BIGINT AS n_bytes, sha256(x) AS sha256 FROM {ITEMS}")
+def whole_files(spark, sf_dir):
+    """Container files through Spark's own reader, verified as a whole."""
+    found = from_containers(read_files(spark, _files(spark, sf_dir, "chunked")))
+    return found.select(_item(), "layout", "status", F.col("orig_size").alias("n_bytes"), sha())
+
+
 @query("SELECT item_id, text FROM benchmark")
 def column_functions(spark, sf_dir):
     """Compression and back as functions of a column."""
@@ -463,7 +538,7 @@ def stream_totals(spark, sf_dir):
 def stream_encode(spark, sf_dir):
     """Documents as a stream of files, encoded and decoded in micro-batches, written once."""
     source = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = _folder(spark, "stream")
     arriving = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parquet*")
     rows = decode_stream(encode_stream(B.objects(arriving, "doc_id", "text"), BLOCK))
     write_stream(named(rows, "block_id", "status", "raw_size", sha()), f"{base}/rows", f"{base}/state").awaitTermination()

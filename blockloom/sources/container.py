@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,9 +69,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Range(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
+    def __init__(self, path: str, first: int, last: int, place: int | None):
         super().__init__((path, first, last))
-        self.path, self.first, self.last = path, first, last
+        self.path, self.first, self.last, self.place = path, first, last, place
 
 
 def _place(path: str):
@@ -85,11 +86,36 @@ def _open(path: str):
     return system.open_input_file(place)
 
 
+def files_of(paths: str) -> list[str]:
+    """The files of comma-separated paths; a folder stands for its own files, but for hidden ones."""
+    from pyarrow import fs
+
+    out = []
+    for path in filter(None, paths.split(",")):
+        system, place = _place(path)
+        if system.get_file_info(place).type == fs.FileType.Directory:
+            names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(place)) if i.type == fs.FileType.File)
+            out += [f"{path.rstrip('/')}/{n}" for n in names if n[0] not in "_."]
+        else:
+            out.append(path)
+    return out
+
+
+def _reads(f):
+    """read(at, n) of an open file."""
+
+    def read(at: int, n: int) -> bytes:
+        f.seek(at)
+        return f.read(n)
+
+    return read
+
+
 class _Reader(DataSourceReader):
-    """Reads block rows; a partition holds ``blocks_per_partition`` blocks of one file."""
+    """Reads block rows; a partition holds ``blocks_per_partition`` blocks of one file, and reads their bytes alone."""
 
     def __init__(self, options: dict):
-        self.paths = [p for p in options.get("path", options.get("paths", "")).split(",") if p]
+        self.paths = files_of(options.get("path", options.get("paths", "")))
         self.per = int(options.get("blocks_per_partition", "64"))
         if self.per < 1:
             raise ValueError("blocks_per_partition must be positive")
@@ -98,31 +124,20 @@ class _Reader(DataSourceReader):
         out: list[InputPartition] = []
         for path in self.paths:
             with _open(path) as f:
-                head = f.read(container.HEADER.size)
-            size, block = _probe(head)
-            count = -(-size // block)
-            out += [_Range(path, a, min(count, a + self.per)) for a in range(0, count, self.per)]
+                read = _reads(f)
+                m = container.manifest(read(0, container.HEADER.size))
+                places = container.record_places(read, m.num_blocks, self.per) if m.layout == "chunked" else None
+            out += [_Range(path, a, min(m.num_blocks, a + self.per), places[a // self.per] if places else None) for a in range(0, m.num_blocks, self.per)]
         return out
 
     def read(self, partition: _Range):
         with _open(partition.path) as f:
-            data = f.read()
-        for i, b in container.read_blocks(data, range(partition.first, partition.last)):
-            payload = decode(b.raw_size, *(unpack_streams(b.streams) if b.packed else b.streams))
-            yield (partition.path, i, b.raw_size, payload)
-
-
-def _probe(head: bytes) -> tuple[int, int]:
-    """(object size, block size) from a file's first bytes."""
-    if head[:8] in (container.MAGIC_INDEXED, container.MAGIC_INTERLEAVED):
-        _, _, size, block, *_ = container.HEADER.unpack_from(head)
-    elif head[:8] == container.MAGIC_CHUNKED:
-        _, _, _, size, _, block = container.CHUNKED.unpack_from(head)
-    else:
-        raise BadData("no container")
-    if block < 1:
-        raise BadData("a header that contradicts itself")
-    return size, block
+            for i, size, b in container.read_range(_reads(f), partition.first, partition.last, partition.place):
+                payload = None
+                if b is not None:
+                    with contextlib.suppress(BadData):
+                        payload = decode(b.raw_size, *(unpack_streams(b.streams) if b.packed else b.streams))
+                yield (partition.path, i, size, payload, BAD_DATA if payload is None else OK)
 
 
 class _Written(WriterCommitMessage):
@@ -153,6 +168,8 @@ class _Writer(DataSourceWriter):
         for row in rows:
             if row["payload"] is None:
                 continue
+            if row["object_id"] is None:
+                raise ValueError("an object without an id has no file name")
             data = bytes(row["payload"])
             name = quote(str(row["object_id"]), safe="")
             with system.open_output_stream(f"{aside}/{name}") as f:
@@ -162,9 +179,12 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages) -> None:
         system, _ = _place(self.path)
-        for m in messages:
-            for a, b in m.moves if m else []:
-                system.move(a, b)
+        moves = [pair for m in messages if m for pair in m.moves]
+        if len({b for _, b in moves}) < len(moves):
+            self._tidy()
+            raise ValueError("several objects have the same id")
+        for a, b in moves:
+            system.move(a, b)
         self._tidy()
 
     def abort(self, messages) -> None:
@@ -180,12 +200,14 @@ class _Writer(DataSourceWriter):
 
 
 class ContainerSource(DataSource):
-    """``spark.read.format("blockloom").load(path)``: (object_id, block_id, raw_size, payload) of container files.
+    """``spark.read.format("blockloom").load(path)``: (object_id, block_id, raw_size, payload, status) of container files.
 
-    Option ``path``: a file or several, comma-separated; ``blocks_per_partition``: 64 by default.
+    Option ``path``: files or folders, comma-separated; ``blocks_per_partition``: 64 by default. A partition reads the
+    bytes of its blocks and no others. A damaged block has a null payload and status BAD_DATA; the layouts have a
+    checksum for the whole object only, which ``from_containers`` verifies.
     ``df.write.format("blockloom").save(path)``: a file for each row of (object_id, payload), named by its id; option
     ``layout``: chunked (default), indexed, interleaved, or raw for the bytes alone; ``block_size``. Null payloads
-    make no file.
+    make no file; a null or repeated id is an error.
     Register it once a session: ``spark.dataSource.register(ContainerSource)``.
     """
 
@@ -194,7 +216,7 @@ class ContainerSource(DataSource):
         return "blockloom"
 
     def schema(self) -> str:
-        return "object_id string, block_id long, raw_size long, payload binary"
+        return "object_id string, block_id long, raw_size long, payload binary, status string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from blockloom.operators.blocks import BLOCK_SIZE
-from blockloom.sources.container import _open
+from blockloom.sources.container import _open, files_of
 
 
 class _Bytes(InputPartition):
@@ -16,7 +16,7 @@ class _Bytes(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.paths = files_of(options.get("path", ""))
         self.block_size = int(options.get("block_size", BLOCK_SIZE))
         self.per = int(options.get("blocks_per_partition", "64"))
         if self.block_size < 1 or self.per < 1:
@@ -42,7 +42,7 @@ class RangeSource(DataSource):
     """``spark.read.format("blockloom_bytes").load(path)``: (object_id, block_id, raw_size, payload) of plain files.
 
     A task reads ``blocks_per_partition`` (64) blocks of ``block_size`` bytes (1 MiB) and holds one at a time, so a
-    file may be larger than any executor. Option ``path``: a file or several, comma-separated; empty files have no
+    file may be larger than any executor. Option ``path``: files or folders, comma-separated; empty files have no
     blocks. Register it once a session: ``spark.dataSource.register(RangeSource)``.
     """
 

@@ -96,3 +96,17 @@ def test_streams(spark, objs, tmp_path):
         assert {(r.object_id, r.block_id) for r in found} == want and len(found) == len(want)
         assert all(r.status == "OK" for r in found)
         objs.filter("object_id IN ('run', 'unicode')").write.mode("append").parquet(source)
+
+
+def test_assembling_tells_damaged_and_short_objects(objs):
+    decoded = codec.decode_blocks(codec.encode_blocks(B.split_blocks(objs, 64), entropy=False), entropy=False)
+    hurt = decoded.withColumn("status", F.when((F.col("object_id") == "run") & (F.col("block_id") == 3), F.lit(codec.BAD_DATA)).otherwise(F.col("status")))
+    rows = {r.object_id: r for r in codec.assembled(hurt.filter("object_id != 'n1000' OR block_id != 5")).collect()}
+    assert rows["run"].status == codec.BAD_DATA and rows["run"].payload is None
+    assert rows["n1000"].status == codec.MISSING and rows["n1000"].payload is None
+    assert {r.status for k, r in rows.items() if k not in ("run", "n1000")} == {codec.OK}
+
+
+def test_a_round_trip_runs_its_kernels_once(objs):
+    plan = codec.roundtrip(objs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # encode, decode, join

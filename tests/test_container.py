@@ -111,3 +111,53 @@ def test_data_source_writes_a_file_an_object(spark, tmp_path, layout):
     assert set(files) == {"a%2Fb", "c", "d%20e"}
     read = (lambda x: x) if layout == "raw" else container.read_object
     assert [read(files[n]) for n in ("a%2Fb", "c", "d%20e")] == list(objs.values())
+
+
+@pytest.mark.parametrize("writer", WRITERS)
+def test_ranges_read_their_own_bytes_alone(writer):
+    payload = sample(40_000, 9)
+    data = written(writer, payload)
+    m = container.manifest(data)
+    seen = 0
+
+    def read(at, n):
+        nonlocal seen
+        seen += n
+        return data[at : at + n]
+
+    from blockloom.functions.entropy import unpack_streams
+    from blockloom.functions.tokens import decode
+
+    places = container.record_places(read, m.num_blocks, 5) if m.layout == "chunked" else None
+    for first in range(0, m.num_blocks, 5):
+        seen, last = 0, min(m.num_blocks, first + 5)
+        found = list(container.read_range(read, first, last, places[first // 5] if places else None))
+        assert [i for i, _, _ in found] == list(range(first, last))
+        for i, size, b in found:
+            whole = decode(b.raw_size, *(unpack_streams(b.streams) if b.packed else b.streams))
+            assert whole == payload[i * m.block_size : (i + 1) * m.block_size] and len(whole) == size
+        if m.layout != "indexed":  # whose streams are packed as a whole
+            assert seen < len(data) / 3
+
+
+def test_a_damaged_block_of_a_file_is_told_apart(spark, tmp_path):
+    from blockloom.sources.container import ContainerSource
+
+    spark.dataSource.register(ContainerSource)
+    writer = next(w for w in WRITERS if "interleaved" in w.__name__)
+    data = bytearray(written(writer, sample(5000, 4)))
+    data[-3] ^= 0xFF
+    (tmp_path / "hurt").write_bytes(bytes(data))
+    rows = {r.block_id: r for r in spark.read.format("blockloom").option("blocks_per_partition", "2").load(str(tmp_path)).collect()}
+    last = max(rows)
+    assert rows[last].status == "BAD_DATA" and rows[last].payload is None and all(rows[i].status == "OK" for i in rows if i != last)
+
+
+@pytest.mark.parametrize("ids", [["a", "a"], ["a", None]])
+def test_a_repeated_or_null_id_is_an_error(spark, tmp_path, ids):
+    from blockloom.sources.container import ContainerSource
+
+    spark.dataSource.register(ContainerSource)
+    frame = spark.createDataFrame([(i, b"x") for i in ids], "object_id string, payload binary")
+    with pytest.raises(Exception, match="same id|without an id"):
+        frame.write.format("blockloom").mode("append").save(str(tmp_path / "out"))
