@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import row_key
+from blockloom.llm.common import HOT_PARTS, materialize, row_key
 
 K, WORDS = 128, 5
 _WHITE = " \t\n\x0b\x0c\r"
@@ -74,22 +74,23 @@ def merge_sketches(parts: DataFrame, key: str, sketch: str, k: int = K, fan_in:
     return now.select(F.col("_k").alias(key), F.col("_s").alias(sketch))
 
 
-def _at_most(bounds: list[int], x: Column) -> Column:
-    """How many of the sorted ``bounds`` are at most ``x``: a binary search over a literal array."""
-    if not bounds:
-        return F.lit(0)
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast(_NONE)
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+def _at_most(array: Column, x: Column, most: int) -> Column:
+    """How many of the sorted values of ``array``, at most ``most``, are at most ``x``: a binary search."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))
 
     def halve(s: Column, _: Column) -> Column:
         middle = ((s["lo"] + s["hi"]) / 2).cast("int")
         right = F.coalesce(F.get(array, middle) <= x, F.lit(False)) & (middle < s["hi"])
         return F.struct(F.when(right, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(F.greatest(s["lo"], F.least(middle, s["hi"]))).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(array).alias("hi"))
     return F.aggregate(steps, start, halve)["lo"]
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(_NONE) if values else F.array().cast(_NONE)
+
+
 def with_next(dealt: DataFrame, columns: list[str]) -> DataFrame:
     """What :func:`dealt_by_range` returns, with next_<column>: the values of the next row, descending doc_id, in a ring.
 
@@ -100,28 +101,57 @@ def with_next(dealt: DataFrame, columns: list[str]) -> DataFrame:
     return dealt.select("*", *nexts).filter("guest = 0")
 
 
-def dealt_by_range(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 16_384) -> DataFrame:
-    """``docs`` (doc_id, rid, text) with bucket and guest, partitioned by bucket.
+#: Ranges of ids that the driver cuts, and ranges that each is cut into by a table of one row each.
+RANGES, FINER = 1024, 256
+
+
+def _cuts(n: int) -> list[float]:
+    return [i / n for i in range(1, n)]
+
+
+def dealt_by_range(docs: DataFrame, rows_per_bucket: int = 2000, ranges: int = RANGES, finer: int = FINER) -> DataFrame:
+    """``docs`` (doc_id, rid, text) with bucket, guest and copies, partitioned by bucket.
 
-    Rows are dealt once, by ranges of doc_id; the first row of each range is also dealt, as a guest, to the range
-    before it, so no window spans ranges and no task sees more than one range. The driver sees one id a range,
-    ``most_buckets`` at the most.
+    Rows are dealt once, by ranges of doc_id, and those of an id that many rows share (or of no id) by ranges of rid
+    besides; the first row of each bucket is also dealt, as a guest, to the bucket before it, so no window spans buckets
+    and no task sees more than one. Rows alike in id and text are one row with that many ``copies`` where their id is hot,
+    as no range would part them. The driver sees one id for each of at most ``ranges`` ranges; what is broadcast has a
+    row a bucket, at most ``ranges`` * ``finer`` of them.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.count("doc_id")).first()[0]
-    n = max(1, min(most_buckets, -(-total // rows_per_bucket)))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(cuts or []))
-    own = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_at_most(bounds, F.col("doc_id")).cast("int"))
-    bucketed = docs.withColumn("bucket", own)
-    firsts = bucketed.groupBy("bucket").agg(F.max(F.struct("doc_id", "rid")).alias("f")).select("bucket", "f.*").collect()
-    firsts.sort(key=lambda r: -r["bucket"])
-    guests = [(r["doc_id"], r["rid"], firsts[i - 1]["bucket"]) for i, r in enumerate(firsts)]
-    g = F.broadcast(spark.createDataFrame(guests, "g_id long, g_rid long, to int"))  # one row a bucket
+    total, null_rows = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    n = max(1, -(-(total - null_rows) // rows_per_bucket))
+    first, second = min(n, ranges), min(finer, -(-n // ranges))
+    least = max(4 * rows_per_bucket, total // HOT_PARTS)
+    hot = [(r["doc_id"], r["n"]) for r in docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > least).collect()]
+    parts = {i: -(-n // least) for i, n in hot}
+    cuts = docs.filter(~F.col("doc_id").isin(list(parts))).agg(F.percentile_approx("doc_id", _cuts(first), 20 * first)).first()[0] if first > 1 else []
+    salts = max([1, *parts.values(), -(-null_rows // least)])
+    # a hot id is a range by itself
+    bounds = sorted({*(cuts or []), *parts, *(i + 1 for i in parts if i < (1 << 63) - 1)})
+    rows = docs.withColumn("copies", F.lit(1).cast("long"))
+    if parts or null_rows > least:
+        is_hot = F.col("doc_id").isin(list(parts)) | F.col("doc_id").isNull() if null_rows > least else F.col("doc_id").isin(list(parts))
+        one = docs.filter(is_hot).groupBy("doc_id", "rid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+        rows = rows.filter(~F.coalesce(is_hot, F.lit(False))).unionByName(one)
+    own = rows.withColumn("at", _at_most(_numbers(bounds), F.col("doc_id"), len(bounds)).cast("long"))
+    if second > 1:
+        # one row a range, of bounded size
+        more = own.filter("doc_id IS NOT NULL").groupBy("at").agg(F.array_sort(F.array_distinct(F.percentile_approx("doc_id", _cuts(second), 20 * second))).alias("fine"))
+        own = own.join(F.broadcast(more), "at", "left")
+        own = own.withColumn("at", F.col("at") * second + F.coalesce(_at_most(F.col("fine"), F.col("doc_id"), second), F.lit(0))).drop("fine")
+    # the part of an id's rows that a hash falls in, in order
+    place = (F.col("rid").cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
+    chosen = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair)) if parts else F.create_map().cast("map<bigint,int>")
+    of_id = F.when(F.col("doc_id").isNull(), F.lit(-(-null_rows // least) or 1)).otherwise(F.coalesce(F.try_element_at(chosen, F.col("doc_id")), F.lit(1)))
+    part = F.least(F.floor(place * of_id), of_id - 1).cast("long")
+    bucketed = own.withColumn("bucket", F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("at")), F.lit(-1)) * salts + part).drop("at")
+    firsts = materialize(bucketed.groupBy("bucket").agg(F.max(F.struct("doc_id", "rid")).alias("f")), "firsts")
+    before = F.coalesce(F.lag("bucket").over(Window.orderBy(F.col("bucket").desc())), F.lit(firsts.agg(F.min("bucket")).first()[0]))
+    g = F.broadcast(firsts.select(F.col("f.doc_id").alias("g_id"), F.col("f.rid").alias("g_rid"), before.alias("to")))
     both = bucketed.join(g, (bucketed["rid"] == g["g_rid"]) & bucketed["doc_id"].eqNullSafe(g["g_id"]), "left")
     home, away = F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("guest"))
     seats = both.withColumn("seat", F.explode(F.when(F.col("to").isNull(), F.array(home)).otherwise(F.array(home, away))))
-    return seats.select("doc_id", "rid", "text", "seat.bucket", "seat.guest").repartition("bucket")
+    return seats.select("doc_id", "rid", "text", "copies", "seat.bucket", "seat.guest").repartition("bucket")
 
 
 def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,9 +172,15 @@ def edited_fingerprints(docs: DataFrame, k: int = K, words: int = WORDS, id_col:
     seated = with_sketch(dealt_by_range(own.withColumn("rid", row_key())), "text", "sketch", k, words)
     paired = with_next(seated, ["text", "sketch"]).withColumn("n_chars", F.char_length("text"))
     m = F.floor(F.col("n_chars") / 3).cast("int")
+    # of copies dealt as one, each but the last is followed by its like
+    turns = F.filter(F.array(F.struct(F.lit(False).alias("like"), F.lit(1).cast("long").alias("times")), F.struct(F.lit(True).alias("like"), (F.col("copies") - 1).alias("times"))), lambda t: t["times"] > 0)
+    paired = paired.withColumn("turn", F.explode(turns))
+    for c in ("text", "sketch"):
+        paired = paired.withColumn(f"next_{c}", F.when(F.col("turn.like"), F.col(c)).otherwise(F.col(f"next_{c}")))
     edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - m), F.substring("next_text", F.lit(1), m)))
     done = with_sketch(edited.drop("text", "next_text"), "edited", "edited_sketch", k, words)
-    return done.select(
+    found = done.select(
+        F.col("turn.times").alias("times"),
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -153,3 +189,4 @@ def edited_fingerprints(docs: DataFrame, k: int = K, words: int = WORDS, id_col:
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
     )
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "_copy")

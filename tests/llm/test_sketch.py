@@ -80,3 +80,22 @@ def test_empty_table_and_one_document(docs, none):
     assert sketch.edited_fingerprints(none).count() == 0 and sketch.fingerprints(none).count() == 0
     one = sketch.edited_fingerprints(docs.filter("doc_id = 2004")).first()
     assert one.near_next == 1.0 and one.n_chars == 9
+
+
+def test_hot_ids_and_rows_in_buckets_of_their_own(spark, monkeypatch):
+    """A third of the rows have one id, a third none, and of each some are alike; ranges are cut twice."""
+    rows = [(7, f"hot words number {i // 3}") for i in range(300)] + [(None, f"nameless words {i % 90}") for i in range(300)] + [(100 + i, f"own words {i}") for i in range(300)] + [(8, "the very same text")] * 200
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rid", sketch.row_key())
+    dealt = sketch.dealt_by_range(frame, rows_per_bucket=10, ranges=4, finer=3)
+    assert max(r["count"] for r in dealt.groupBy("bucket").count().collect()) <= 60
+    monkeypatch.setattr(sketch.dealt_by_range, "__defaults__", (10, 4, 3))
+    got = sketch.edited_fingerprints(frame.drop("rid")).collect()
+    rid = {(r.doc_id, r.text): r.rid for r in frame.collect()}
+    ring = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, rid[r]), reverse=True)
+    want = []
+    for at, (doc_id, text) in enumerate(ring):
+        after = ring[(at + 1) % len(ring)][1]
+        m = len(text) // 3
+        want.append((doc_id, hashlib.sha256((text[: len(text) - m] + after[:m]).encode()).hexdigest(), near(brute(text), brute(after))))
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.edited_sha256, r.near_next) for r in got), key=key) == sorted(want, key=key)
