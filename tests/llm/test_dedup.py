@@ -157,3 +157,20 @@ def test_groups_in_salted_parts(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(400)) and got[2000] == 2000 and len(got) == 501
     edges = spark.createDataFrame([(0, i) for i in range(1, 500)] + [(i, i + 1) for i in range(600, 700)], "u long, v long")
     assert {r.node: r.root for r in connected_components(edges).collect()} == {i: 0 for i in range(500)} | {i: 600 for i in range(600, 701)}
+
+
+def test_licences_by_any_of_their_rare_words(spark):
+    from blockloom.llm import license_scan as module
+
+    notices = {label: notice for label, notice, _ in module.TEMPLATES}
+    gone = notices["bsd-endorse"].replace("neither", "not").replace("contributors", "authors")
+    several = "... ".join(notices.values())
+    rows = [(1, "x " + gone.upper() + " y"), (2, several), (3, "endorse or promote products derived from this software"), (4, "Ä MIT License É"), (5, ("w " * 200 + notices["zlib"] + " ") * 300), (6, None), (7, "permission hereby granted " * 20_000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan(documents).collect()}
+    assert found[1].labels == "bsd-endorse" and 0.8 <= found[1].score < 1
+    assert set(notices) <= set(found[2].labels.split(",")) and found[2].score == 1
+    assert found[3].labels == "" and found[4].labels == "mit" and found[5].labels == "zlib" and found[6].n_words == 0 and found[7].n_words == 60_000
+    documents = documents.toPandas()  # noqa: F841
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert sorted(map(str, duckdb.sql(oracle_sql()).fetchall())) == sorted(str(tuple(found[i][c] for c in columns)) for i in found)
