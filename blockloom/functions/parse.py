@@ -21,10 +21,15 @@ BEYOND = 12
 LAZY_BELOW = 64
 #: Candidates looked at for one position.
 MOST_CANDIDATES = 36
+#: An odd multiplier, 2**64 over the golden ratio, that spreads values over the high bits.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def min_match_length(distance: int) -> int:
-    return next((n for bound, n in TIERS if distance < bound), BEYOND)
+    for bound, least in TIERS:
+        if distance < bound:
+            return least
+    return BEYOND
 
 
 def attempts(level: int) -> int:
@@ -32,16 +37,22 @@ def attempts(level: int) -> int:
     return 32 if level >= 2 or level <= 0 else 4
 
 
-def previous_same(data: np.ndarray, width: int) -> np.ndarray:
-    """For each position the nearest earlier one with the same next ``width`` bytes; -1 if none."""
-    n = len(data) - width + 1
+def previous_same(block: bytes, width: int) -> np.ndarray:
+    """For each position the nearest earlier one with the same next ``width`` bytes (at most eight); -1 if none.
+
+    Hashes carry their positions in the low bits, so one plain sort groups equal values in order. Different values with
+    one hash can hide a predecessor from each other, never give a wrong one.
+    """
+    n = len(block) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    value = np.zeros(n, np.uint64)
-    for i in range(width):
-        value |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    order = np.argsort(value, kind="stable")
-    same = value[order][1:] == value[order][:-1]
+    value = np.ndarray(n, "<u8", block + bytes(8), 0, (1,)) & np.uint64((1 << 8 * width) - 1)
+    low = np.uint64((n - 1).bit_length())
+    key = (value * SPREAD >> low << low) | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+    value = value[order]
+    same = value[1:] == value[:-1]
     before = np.full(n, -1, np.int64)
     before[order[1:][same]] = order[:-1][same]
     return before
@@ -52,16 +63,12 @@ def common_length(block: bytes, a: int, b: int, most: int) -> int:
     done, step = 0, 16
     while done < most:
         step = min(step, most - done)
-        if block[a + done : a + done + step] == block[b + done : b + done + step]:
-            done += step
-            step *= 2
-            continue
-        if step <= 16:
-            x, y = block[a + done : a + done + step], block[b + done : b + done + step]
-            for i in range(step):
-                if x[i] != y[i]:
-                    return done + i
-        step = max(16, step // 4) if step > 16 else step
+        x, y = block[a + done : a + done + step], block[b + done : b + done + step]
+        if x != y:
+            differ = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+            return done + ((differ & -differ).bit_length() - 1) // 8
+        done += step
+        step *= 2
     return most
 
 
@@ -69,13 +76,11 @@ def encode(block: bytes, level: int = 2) -> tuple[bytes, bytes, bytes, bytes]:
     """Streams (literals, offsets, lengths, commands) of a block, an empty one included."""
     writer = TokenWriter()
     n = len(block)
-    data = np.frombuffer(block, np.uint8)
     end = n - TAIL
     if end > 0:
-        chain, near = previous_same(data, 8).tolist(), previous_same(data, MIN_LENGTH)
-        places = np.flatnonzero(near[:end] >= 0)
+        chain, near = previous_same(block, 8).tolist(), previous_same(block, MIN_LENGTH)[:end]
         # the next position that can start a match
-        onward = np.append(places, end)[np.searchsorted(places, np.arange(end))].tolist()
+        onward = np.minimum.accumulate(np.where(near >= 0, np.arange(end), end)[::-1])[::-1].tolist()
         near = near.tolist()
     effort = min(attempts(level), MOST_CANDIDATES)
 
@@ -83,9 +88,10 @@ def encode(block: bytes, level: int = 2) -> tuple[bytes, bytes, bytes, bytes]:
         """(length, distance) of the best match at a position; recent distances win ties."""
         most = min(n - at, MAX_MATCH)
         best = found = 0
-        first = block[at : at + MIN_LENGTH]
+        first = block[at]
         for distance in writer.recent:
-            if at >= distance and block[at - distance : at - distance + MIN_LENGTH] == first:
+            here = at - distance
+            if here >= 0 and block[here] == first and block[here : here + MIN_LENGTH] == block[at : at + MIN_LENGTH]:
                 length = common_length(block, at, at - distance, most)
                 if length > best:
                     best, found = length, distance
