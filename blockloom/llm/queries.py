@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm import license_scan as licenses
+from blockloom.llm import sql
 from blockloom.llm.ann import nearest
 from blockloom.llm.langid import held_out, train_and_identify
 from blockloom.llm.line_dedup import apply_bitmaps, line_dedup
@@ -119,4 +120,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_license_scan": licenses.oracle_sql(), "op9_mixing": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+    "op2_suffix_dedup": sql.repeats(400),
+    "op3_simhash": sql.simhash(3, 2),
+    "op5_license_scan": licenses.oracle_sql(),
+    "op9_mixing": OP9_SQL,
+    "op10_fingerprints": sql.sketches(128, 5),
+}
