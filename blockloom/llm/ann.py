@@ -471,7 +471,9 @@ def _cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(batch.num_rows, -1) for c in ("q_exact", "exact"))
-        score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+        # summed in the order of the components, so that the score doesn't hang on the width of vector instructions
+        ab, aa, bb = (np.add.accumulate(x, axis=1)[:, -1] for x in (a * b, a * a, b * b))
+        score = ab / (np.sqrt(aa) * np.sqrt(bb))
         rest = [c for c in batch.schema.names if c not in ("q_exact", "exact")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(np.clip(score, -1, 1))], names=[*rest, "score"])
 

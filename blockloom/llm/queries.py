@@ -124,6 +124,7 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op2_suffix_dedup": sql.repeats(400),
     "op3_simhash": sql.simhash(3, 2),
+    "op4_nearest": sql.nearest(50, 5),
     "op5_license_scan": licenses.oracle_sql(),
     "op9_mixing": OP9_SQL,
     "op10_fingerprints": sql.sketches(128, 5),

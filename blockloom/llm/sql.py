@@ -1,4 +1,4 @@
-"""DuckDB SQL of operators whose rows need byte windows or XXH64, which DuckDB lacks.
+"""DuckDB SQL of operators whose rows need byte windows, all cosines, or XXH64, which DuckDB lacks.
 
 XXH64 is spelled out in 128-bit arithmetic: products are taken modulo 2**64, and a rotation by r is a product with 2**r
 modulo 2**64 - 1. Texts are hexadecimal there, two digits a byte.
@@ -149,3 +149,18 @@ SELECT n.doc_id, n.n_chars::BIGINT AS n_chars, sha256(n.edited) AS edited_sha256
        {likeness("e")} AS near_edited, {likeness("f")} AS near_next
 FROM n JOIN m o ON o.rid = n.rid AND o.kind = 0 JOIN m e ON e.rid = n.rid AND e.kind = 1 JOIN m f ON f.rid = n.next AND f.kind = 0
 """
+
+
+def nearest(every: int, top: int) -> str:
+    """The exact nearest by brute force; what the search finds equals it where nothing is missed, as on the test tables."""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y)) AS norm
+  FROM (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x <> 0)) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             greatest(-1::DOUBLE, least(1::DOUBLE, list_reduce(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]), lambda x, y: x + y) / (q.norm * c.norm))) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % {every} = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= {top}
+"""

@@ -6,8 +6,10 @@ import duckdb
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from blockloom.llm import simhash, sketch, sql, suffix_dedup
+from blockloom.llm.ann import nearest
 from blockloom.llm.queries import ORACLES
 
 
@@ -39,5 +41,16 @@ def test_operators_equal_sql(docs, corpus, run, text):
     assert len(rows) == len(corpus) and rows == sorted(map(str, want.select(*columns).fetchall()))
 
 
+def test_nearest_equals_sql(spark):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(12)] + [(400, None), (450, [0.0] * 16), (500, [float("nan")] * 16), (550, [None] + [1.0] * 15), (600, [])]
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))}))
+    want = con.sql(sql.nearest(50, 5)).fetchall()
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, top=5)
+    assert len(want) == 35 and sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == sorted(want)
+
+
 def test_registered():
     assert ORACLES["op2_suffix_dedup"] == sql.repeats(400) and ORACLES["op3_simhash"] == sql.simhash(3, 2) and ORACLES["op10_fingerprints"] == sql.sketches(128, 5)
