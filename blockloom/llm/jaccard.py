@@ -1,9 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose, exact sets decide.
+"""Near copies by SimHash, decided by the Jaccard similarity of word shingles: fingerprints propose, exact sets decide.
 
-Documents of equal shingle sets collapse to one node. A node's 192 MinHash values are cut into 32 bands
-of six; two nodes of similarity 0.8 agree in some band with a probability above 0.9999. Nodes of a
-bucket are first compared with its least one, which links groups of copies at a linear cost. Where
-a bucket still holds several components, its nodes are compared across them by eight bits of each MinHash value,
+Documents of equal shingle sets collapse to one node with a fingerprint of 1024 bits. Blocks of bits deal the nodes to buckets, Hamming
+distances part a bucket into clusters (:func:`blockloom.llm.simhash.near_clusters`). Nodes of a
+cluster are first compared with its least one, which links groups of copies at a linear cost. Where
+a cluster still holds several components, its nodes are compared across them by all bits of their fingerprints,
 in blocks; pairs not clearly below the threshold are decided there on whole shingle sets, and only links that connect
 something leave the block. Every link is verified on whole shingle sets.
 """
@@ -20,20 +20,13 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.common import documents, hot_keys, join_split, lean, materialize, release, row_key
 from blockloom.llm.graph import connected_components
-from blockloom.llm.simhash import SEED, first_of_each
+from blockloom.llm.simhash import BUCKET, SEED, WIDE, apart, first_of_each, most_apart, near_clusters, wide_simhash
 
-BANDS, DEPTH = 32, 6
-#: Members of a bucket that are compared in one block.
+#: Members of a cluster that are compared in one block.
 BLOCK = 1024
-#: Standard deviations of the MinHash estimate that a proposed pair may lie below the threshold.
-SIGMAS = 4
 #: Parts in which a node's partners are dealt for verification.
 SALTS = 64
 
-_RNG = np.random.default_rng(SEED)
-_MULTIPLY = _RNG.integers(0, 1 << 31, BANDS * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _RNG.integers(0, 1 << 32, BANDS * DEPTH, np.uint32)
-
 
 def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
     """Sorted distinct XXH64 of the shingles; A-Z lowered, cut at white space as for SimHash.
@@ -45,28 +38,15 @@ def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64))
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (set x BANDS, int64) and eight bits of each MinHash value (set x BANDS*DEPTH, uint8)."""
-    h = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    least = np.stack([np.minimum.reduceat((h ^ f) * m, starts) for f, m in zip(_FLIP, _MULTIPLY, strict=True)], axis=1)
-    keys = np.zeros((len(sets), BANDS), np.uint64)
-    for d in range(DEPTH):
-        keys = (keys ^ least[:, d::DEPTH].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64), ((least ^ least >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
-
-
 def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            keys, bits = signatures(sets)
             sids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(sids), bands, pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "rid", "sid", "bands", "bits"])
+            prints = pa.array([f.tobytes() for f in wide_simhash(sets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(sids), prints], names=["doc_id", "rid", "sid", "fp"])
 
     return run
 
@@ -75,7 +55,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(sets, pa.binary())], names=["sid", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("fp"), pa.array(sets, pa.binary())], names=["sid", "fp", "shingles"])
 
     return run
 
@@ -107,15 +87,15 @@ def _similar_sets(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _across(least: float, num: int, den: int):
-    """Links of a block: pairs in different components that agree in ``least`` of their MinHash bits and have sets similar enough.
+def _across(most: int, num: int, den: int):
+    """Links of a block: pairs in different components whose fingerprints differ in at most ``most`` bits and whose sets are similar enough.
 
     A pair that the links found before it connect is passed over, so fewer links than nodes come out.
     """
 
     def solved(rows: list[tuple], same_chunk: bool) -> tuple[list[int], list[int]]:
         sid, root, first = (np.array([r[c] for r in rows]) for c in range(3))
-        bits = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(len(rows), -1)
+        prints = np.frombuffer(b"".join([r[3] for r in rows]), np.uint64).reshape(len(rows), -1)
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         left = np.arange(len(rows)) if same_chunk else np.flatnonzero(first)
         right = left if same_chunk else np.flatnonzero(~first)
@@ -123,7 +103,7 @@ def _across(least: float, num: int, den: int):
         us, vs = [], []
         for at in range(0, len(left), 64):
             some = left[at : at + 64]
-            near = (bits[some][:, None, :] == bits[right][None, :, :]).sum(axis=2) >= least
+            near = apart(prints[some], prints[right]) <= most
             near &= group[some][:, None] != group[right][None, :]
             if same_chunk:
                 near &= sid[some][:, None] < sid[right][None, :]
@@ -140,27 +120,27 @@ def _across(least: float, num: int, den: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                us, vs = solved(rows, held[2] == held[3])
+                us, vs = solved(rows, held[1] == held[2])
                 if us:
                     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "sid", "root", "chunk", "bits", "shingles")]
-            for band, key, i, j, sid, root, chunk, bits, shingles in zip(*columns, strict=True):
-                if (band, key, i, j) != held:
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "sid", "root", "chunk", "fp", "shingles")]
+            for key, i, j, sid, root, chunk, fp, shingles in zip(*columns, strict=True):
+                if (key, i, j) != held:
                     yield from flush()
-                    held, rows = (band, key, i, j), []
-                rows.append((sid, root, chunk == i, bits, shingles))
+                    held, rows = (key, i, j), []
+                rows.append((sid, root, chunk == i, fp, shingles))
         yield from flush()
 
     return run
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(sid, shingles) of the nodes in ``wanted`` (sid)."""
-    named = wanted.distinct().join(nodes.select("sid", "rid"), "sid")
-    found = texts.join(named, "rid").select("sid", F.col("text").cast("binary").alias("text"))
-    return materialize(found.mapInArrow(lean(_sets(words), 1000), "sid long, shingles binary").dropDuplicates(["sid"]), "sets")
+    """(sid, fp, shingles) of the nodes in ``wanted`` (sid)."""
+    named = wanted.distinct().join(nodes.select("sid", "rid", "fp"), "sid")
+    found = texts.join(named, "rid").select("sid", "fp", F.col("text").cast("binary").alias("text"))
+    return materialize(found.mapInArrow(lean(_sets(words), 1000), "sid long, fp binary, shingles binary").dropDuplicates(["sid"]), "sets")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -175,37 +155,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
 
 
 def _links_across(members: DataFrame, nodes: DataFrame, roots: DataFrame, texts: DataFrame, hot: DataFrame | None, words: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) between the components of ``roots``, of buckets that hold several; see :func:`_across`."""
-    rooted = members.join(roots, members["sid"] == roots["node"], "left").select("band", "key", "n", "sid", F.coalesce("root", "sid").alias("root"))
+    """Links (u, v) between the components of ``roots``, of clusters that hold several; see :func:`_across`."""
+    rooted = members.join(roots, members["sid"] == roots["node"], "left").select("key", "n", "sid", F.coalesce("root", "sid").alias("root"))
     rooted = materialize(rooted, "rooted")
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band", "key")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
     chunks = F.expr(f"n div {BLOCK} + 1")
-    placed = materialize(join_split(rooted, mixed, ["band", "key"], hot).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "placed")
+    placed = materialize(join_split(rooted, mixed, ["key"], hot).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "placed")
     sets = _sets_of(placed.select("sid"), nodes, texts, words)
-    # each pair of a bucket's chunks meets in one block
-    blocks = placed.withColumn("k", F.explode(F.expr("sequence(0L, chunks - 1)"))).join(nodes.select("sid", "bits"), "sid").join(sets, "sid")
-    blocks = blocks.select("band", "key", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "sid", "root", "chunk", "bits", "shingles")
-    by = ["band", "key", "i", "j"]
-    t, n = num / den, BANDS * DEPTH
-    across = _across(n * t - SIGMAS * (n * t * (1 - t)) ** 0.5, num, den)
+    # each pair of a cluster's chunks meets in one block
+    blocks = placed.withColumn("k", F.explode(F.expr("sequence(0L, chunks - 1)"))).join(sets, "sid")
+    blocks = blocks.select("key", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "sid", "root", "chunk", "fp", "shingles")
+    by = ["key", "i", "j"]
+    across = _across(most_apart(num / den, WIDE), num, den)
     return materialize(blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(across, 1000), "u long, v long"), "across")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """doc_id, rid, sid, root; one row for each row of ``docs``.
 
     Documents whose shingle sets have a Jaccard similarity of num/den or more are linked; rows that chains of links
-    reach have the same ``root``. Null and texts without words are alike. An empty table gives an empty result.
+    reach have the same ``root``. ``bucket``: nodes that are compared by fingerprints at once, on average. Null and texts without words are alike. An empty table gives an empty result.
     """
     texts = documents(docs, id_col, text_col).withColumn("rid", row_key())
-    kinds = "doc_id long, rid long, sid long, bands array<long>, bits binary"
+    kinds = "doc_id long, rid long, sid long, fp binary"
     prints = materialize(texts.select("doc_id", "rid", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_prints(words), 250), kinds), "prints")
-    nodes = materialize(prints.groupBy("sid").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
-    dealt = nodes.select("sid", F.posexplode("bands").alias("band", "key"))
-    shared = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("sid").alias("least")).filter("n > 1")
-    shared = materialize(shared, "shared")
-    hot = hot_keys(shared, ["band", "key"], shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    members = materialize(join_split(dealt, shared, ["band", "key"], hot), "members")
+    nodes = materialize(prints.groupBy("sid").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("fp").alias("fp")), "nodes")
+    members = materialize(near_clusters(nodes, num / den, bucket), "members")
+    hot = hot_keys(members.filter("sid = least").select("key", "n"), ["key"], members.count())
     stars = materialize(members.filter("sid != least").select(F.col("least").alias("u"), F.col("sid").alias("v")).distinct(), "stars")
     links = _verified(stars, nodes, texts, words, num, den)
     release(docs.sparkSession)

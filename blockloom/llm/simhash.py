@@ -6,10 +6,15 @@ under each choice of six agreeing blocks; a bucket then holds at most 2^(free bi
 values (65,536 for d=2), however many near copies the corpus has. A bucket is never paired off:
 each value looks its few neighbours up in the bucket's sorted values, and only the edges of a
 spanning forest leave the task.
+
+A wider distance, such as that of texts alike by four fifths, leaves no blocks long enough to select. For it
+:func:`near_clusters` takes a fingerprint of 1024 bits, blocks of bits drawn at random, in so many draws that a pair
+at that distance agrees in some, and Hamming verification inside the buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -158,6 +163,166 @@ def near_pairs(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return dealt.repartition("choice", "block").sortWithinPartitions("choice", "block").mapInArrow(lean(_bucket_edges(distance, masks)), "u long, v long").distinct()
 
 
+#: Bits of a wide fingerprint; the first of them verify, blocks are drawn from the rest.
+WIDE, VERIFY = 1024, 192
+#: Distinct nodes of a bucket, on average.
+BUCKET = 1000
+#: Draws of blocks are made until a pair misses all with a probability of e to the minus this, its bits taken as independent.
+MISS = 11
+#: Standard deviations that a pair's distance may exceed the expected one, and the share of bits by which texts of few shingles do so
+#: (four of five shingles alike differ by 3/16, where many differ by 0.15).
+SIGMAS, FEW = 4, 0.04
+
+_RNG = np.random.default_rng(SEED)
+_SEEDS = _RNG.integers(0, 1 << 64, WIDE // 64, np.uint64)
+_LOW = np.uint64(0x0101010101010101)
+
+
+def wide_simhash(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints (set x WIDE/64, uint64): a bit is 1 if set in over half of the set's hashes, mixed anew for each 64 bits.
+
+    Eight counters of a byte go through one addition, at most 255 hashes at a time.
+    """
+    h, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    parts = -(-sizes // 255)
+    firsts = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(sizes) - sizes - 255 * firsts, parts) + 255 * np.arange(parts.sum())
+    out = np.zeros((len(sets), WIDE // 64), np.uint64)
+    for w, seed in enumerate(_SEEDS):
+        x = (h ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        for k in range(8):
+            counts = np.add.reduceat(x >> np.uint64(k) & _LOW, starts).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(counts, firsts, axis=0, dtype=np.int64) * 2 > sizes[:, None]
+            out[:, w] |= np.ascontiguousarray(ones).view(np.uint64).ravel() << np.uint64(k)
+    return out
+
+
+def expected_share(similarity: float) -> float:
+    """The share of bits in which sets of this Jaccard similarity are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_apart(similarity: float, bits: int) -> int:
+    """The bits of ``bits`` that sets of this Jaccard similarity may differ in; see SIGMAS and FEW."""
+    p = expected_share(similarity)
+    return int(bits * (p + FEW) + SIGMAS * (bits * p * (1 - p)) ** 0.5)
+
+
+def drawn_blocks(n: int, similarity: float, bucket: int = BUCKET) -> np.ndarray:
+    """Positions of the bits (draw x bits) that name the buckets of ``n`` nodes."""
+    bits = max(0, round(math.log2(max(1, n) / bucket)))
+    draws = math.ceil(MISS / (1 - expected_share(similarity)) ** bits) if bits else 1
+    rng = np.random.default_rng(SEED)
+    return np.stack([VERIFY + rng.choice(WIDE - VERIFY, bits, replace=False) for _ in range(draws)])
+
+
+def _drawn(blocks: np.ndarray):
+    draws, n_bits = blocks.shape
+    weight = 1 << np.arange(n_bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wide = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+            buckets = np.stack([bits[:, b] @ weight + (k << n_bits) for k, b in enumerate(blocks)], axis=1).astype(np.int64)
+            each = np.repeat(np.arange(batch.num_rows), draws)
+            verify = [pa.array(wide[each, i].view(np.int64)) for i in range(VERIFY // 64)]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), batch.column("sid").take(pa.array(each)), *verify], names=["bucket", "sid", "f0", "f1", "f2"])
+
+    return run
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each of ``a`` and each of ``b`` (both node x words)."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
+
+
+def _labels(prints: np.ndarray, most: int) -> np.ndarray:
+    """A label for each of ``prints`` (node x words): the same for those that chains of steps of at most ``most`` bits reach."""
+    n = len(prints)
+    label = np.arange(n)
+    if n <= 2048:
+        found = []
+        for at in range(0, n, 64):
+            i, j = np.nonzero(apart(prints[at : at + 64], prints[at:]) <= most)
+            found.append(np.stack([i, j])[:, i < j] + at)
+        i, j = np.concatenate(found, axis=1)
+        while (label[i] != label[j]).any():
+            least = np.minimum(label[i], label[j])
+            np.minimum.at(label, label[i], least)
+            np.minimum.at(label, label[j], least)
+            label = label[label]
+        return label
+    # many nodes alike: what a node reaches is compared with the rest only, not with each other
+    left = np.arange(n)
+    while len(left):
+        front, seed, left = left[:1], left[0], left[1:]
+        while len(front) and len(left):
+            hit = np.zeros(len(left), bool)
+            some = max(1, min(64, (1 << 20) // len(left)))
+            for at in range(0, len(front), some):
+                rest = np.flatnonzero(~hit)
+                hit[rest] = (apart(prints[front[at : at + some]], prints[left[rest]]) <= most).any(axis=0)
+            front, left = left[hit], left[~hit]
+            label[front] = seed
+    return label
+
+
+def _clusters(most: int):
+    """Clusters of the nodes of each bucket, of two members or more; a cluster's key is a hash of its members."""
+
+    def solved(sid: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        label = _labels(prints, most)
+        order = np.lexsort((sid, label))
+        sid, label = sid[order], label[order]
+        starts = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+        sizes = np.diff(np.append(starts, len(sid)))
+        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+        if not len(starts):
+            return
+        keys = np.array([xxhash.xxh64_intdigest(sid[a : a + n].tobytes(), SEED) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)], np.uint64).view(np.int64)
+        rows = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(keys, sizes), np.repeat(sizes, sizes), np.repeat(sid[starts], sizes), sid[rows])], names=["key", "n", "least", "sid"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # of the bucket that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in ("bucket", "sid", "f0", "f1", "f2")], axis=1)
+            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            for piece in np.split(rows, cuts):
+                if held and held[-1][-1, 0] != piece[0, 0]:
+                    whole = np.concatenate(held)
+                    yield from solved(whole[:, 1], whole[:, 2:].view(np.uint64))
+                    held = []
+                held.append(piece)
+        if held:
+            whole = np.concatenate(held)
+            yield from solved(whole[:, 1], whole[:, 2:].view(np.uint64))
+
+    return run
+
+
+def near_clusters(nodes: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """(key, n, least, sid) of clusters of ``nodes`` (sid, fp of :func:`wide_simhash`, both distinct), equal clusters once.
+
+    Nodes whose sets have this Jaccard similarity or more are in one cluster of some key, but for a few in ten thousand at the
+    bound, fewer above it; n is the members of a cluster and ``least`` the least of them.
+    """
+    blocks = drawn_blocks(nodes.count(), similarity, bucket)
+    dealt = nodes.select("sid", "fp").mapInArrow(lean(_drawn(blocks), 1000), "bucket long, sid long, f0 long, f1 long, f2 long")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lean(_clusters(most_apart(similarity, VERIFY))), "key long, n long, least long, sid long").dropDuplicates(["key", "sid"])
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rid, fp long, fingerprint (16 hex digits), root, component_id; one row for each row of ``docs``.
 

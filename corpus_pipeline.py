@@ -43,7 +43,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word Jaccard similarity 0.8 or more) stays, the least doc_id.
 
-    Null texts, and texts without a word, are one group. Texts of fewer than five words are near copies if their words are
+    SimHash finds them: fingerprints of 1024 bits, blocks, Hamming distances; whole shingle sets decide. Null texts, and texts without a word, are one group. Texts of fewer than five words are near copies if their words are
     the same. Of rows with one doc_id the one whose text hashes least stays, of rows alike in both the one whose columns
     hash least; a null doc_id stays only if all of its group are null.
     """
