@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from blockloom.llm import interval, suffix_dedup
@@ -47,6 +49,19 @@ def test_long_texts_are_cut_into_overlapping_pieces(spark, monkeypatch):
     assert got == list(zip([1, 2, 3], brute([t.encode() for _, t in rows], 60), strict=True))
 
 
+@pytest.mark.parametrize("size,n", [(4_000, 2_000), (8_000_000, 1)])
+def test_runs_are_found_in_little_memory(size, n):
+    """Two workers share an executor with its JVM: many texts, or a long one, must not take hundreds of megabytes."""
+    data = random.Random(6).randbytes(size * n)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(n), "rid": range(n), "text": [data[i * size : (i + 1) * size] for i in range(n)]})
+    tracemalloc.start()
+    windows = sum(((r >> 16 & 0xFFFF) + 1) for out in suffix_dedup._runs(400, 120)(iter([batch])) for r in out.column("loc").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == n * (size - 399)
+    assert peak < 160_000_000
+
+
 def test_interval_expansion_equals_counting():
     rnd = random.Random(1)
     for _ in range(150):
